@@ -35,21 +35,21 @@ with l as (
 b as (
   select line_id, file_name, split_part(r, '#', 1) as body,
     case when contains(r, '#') then substr(r, instr(r, '#') + 1) end as com from l),
-t as (select *, list_filter(string_split(replace(body, chr(9), ' '), ' '), x -> x <> '') as tok from b),
+t as (select *, list_filter(string_split(replace(body, chr(9), ' '), ' '), lambda x: x <> '') as tok from b),
 p as (
   select t.*, tok[2:] as pairs, f.first_index as lo, f.first_index + f.n_features - 1 as hi
   from t left join svm_files f on t.file_name = f.file_name where len(tok) > 0),
 q as (
-  select *, list_transform(pairs, x -> split_part(x, ':', 1)) as li, list_transform(pairs, x -> split_part(x, ':', 2)) as lv,
-    list_transform(pairs, x -> try_cast(split_part(x, ':', 1) as bigint)) as ii from p),
+  select *, list_transform(pairs, lambda x: split_part(x, ':', 1)) as li, list_transform(pairs, lambda x: split_part(x, ':', 2)) as lv,
+    list_transform(pairs, lambda x: try_cast(split_part(x, ':', 1) as bigint)) as ii from p),
 r as (
   select line_id, case
     when not coalesce(regexp_full_match(tok[1], '{_NUMBER}') and try_cast(tok[1] as double) in (-1, 0, 1), false) then 'label'
-    when len(list_filter(pairs, x -> not regexp_full_match(x, '[^:]+:[^:]+'))) > 0 then 'pair'
-    when len(list_filter(li, x -> not regexp_full_match(x, '[0-9]+'))) > 0
-      or len(list_filter(ii, x -> x is null or coalesce(x < lo or x > hi, false))) > 0
+    when len(list_filter(pairs, lambda x: not regexp_full_match(x, '[^:]+:[^:]+'))) > 0 then 'pair'
+    when len(list_filter(li, lambda x: not regexp_full_match(x, '[0-9]+'))) > 0
+      or len(list_filter(ii, lambda x: x is null or coalesce(x < lo or x > hi, false))) > 0
       or list_sort(list_distinct(ii)) <> ii then 'index'
-    when len(list_filter(lv, x -> not coalesce(regexp_full_match(x, '{_NUMBER}') and isfinite(try_cast(x as double)), false))) > 0 then 'value'
+    when len(list_filter(lv, lambda x: not coalesce(regexp_full_match(x, '{_NUMBER}') and isfinite(try_cast(x as double)), false))) > 0 then 'value'
     when com is not null and (length(com) - length(replace(com, '"', ''))) % 2 = 1 then 'quote'
     when com is not null and regexp_matches(com, '(^| )n=[0-9]+')
       and try_cast(regexp_extract(com, '(^| )n=([0-9]+)', 2) as bigint) is distinct from len(pairs) then 'count'
