@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import overlap, reservoir
+from tidewire.llm import leak_index, overlap, quality, reservoir
 from tidewire.llm import term_counts as terms
 from tidewire.llm.sql import SQL
 from tidewire.session import table
@@ -66,3 +66,26 @@ def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_report": p2_report, "p4_sample": p4_sample}
+
+
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and proximity matches of test passages in documents."""
+    return leak_index.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), proximity=True)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and test items that share a run of at least ten words."""
+    return leak_index.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document's text with the shares of its kinds of lines."""
+    return quality.text_quality(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Failed checks per document."""
+    return quality.failed_checks(p8_stats(spark, folder))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_matches": p6_matches, "p8_found": p8_found, "p8_stats": p8_stats}

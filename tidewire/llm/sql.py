@@ -47,4 +47,33 @@ select r.dataset, split, source, count(*) as n_records, count(coverage) as n_ove
 from r left join c on r.dataset = c.dataset and r.row_id = c.other group by r.dataset, split, source""",
     "p1_counts": _P1 + "select dataset, col, n_entries, n_records, mark from m",
     "p1_found": _P1 + "select dataset, col, mark from m where mark is not null",
+    "p6_found": """
+with w as (
+  select doc_id as id, 0 as side, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') as w from documents
+  union all
+  select item_id, 1, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') from eval_items),
+g as (
+  select id, side, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as gram
+  from w where len(w) >= 10)
+select distinct d.id as doc_id, i.id as item_id from g d join g i on d.gram = i.gram where d.side = 0 and i.side = 1""",
+    "p8_found": """
+with d as (
+  select doc_id, text, lower(left(lang, 2)) as lang2,
+    list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') as w,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ln
+  from documents where text is not null),
+c as (select lang, list(word) as words from common_words group by lang),
+s as (
+  select doc_id, lang2, len(w) as n_words,
+    length(regexp_replace(text, '[^\\p{L}]', '', 'g')) as n_letters,
+    length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) as n_visible,
+    length(regexp_replace(text, '[\\p{L}\\p{Nd} \\t\\n\\r]', '', 'g')) as n_symbols,
+    len(ln) as n_lines, len(list_filter(ln, lambda x: right(x, 1) in ('.', '!', '?'))) as n_ended,
+    len(list_filter(w, lambda x: coalesce(list_contains(c.words, lower(x)), false))) as n_common
+  from d left join c on d.lang2 = c.lang)
+select doc_id, 'few_words' as failed from s where n_words < 25
+union all select doc_id, 'word_length' from s where n_words > 0 and (n_letters / n_words < 3.5 or n_letters / n_words > 7.5)
+union all select doc_id, 'symbols' from s where n_visible > 0 and n_symbols / n_visible > 0.2::double
+union all select doc_id, 'line_ends' from s where n_lines > 0 and n_ended / n_lines < 0.2::double
+union all select doc_id, 'common_words' from s where n_words > 0 and lang2 is not null and n_common / n_words < 0.25""",
 }
