@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import leak_index, overlap, quality, reservoir
+from tidewire.llm import leak_index, mixing, overlap, permutation_index, quality, reservoir
 from tidewire.llm import term_counts as terms
 from tidewire.llm.sql import SQL
 from tidewire.session import table
@@ -89,3 +89,31 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_matches": p6_matches, "p8_found": p8_found, "p8_stats": p8_stats}
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of every plan's mix with their copies."""
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of every plan's sources."""
+    return mixing.shares(*mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets")))
+
+
+QUERIES |= {"p7_mix": p7_mix, "p7_shares": p7_shares}
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Close pairs of covtype vectors of which one is among the nearest five of the other."""
+    near = permutation_index.neighbours(table(spark, folder, "covtype"), 5, radius=0.03)
+    return near.where("dist <= 0.03").select(F.least("row_id", "neighbour").alias("row_a"), F.greatest("row_id", "neighbour").alias("row_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest others of every covtype vector whose row_id is divisible by 50."""
+    vectors = table(spark, folder, "covtype")
+    return permutation_index.neighbours(vectors, 10, queries=vectors.select("row_id").where("row_id % 50 = 0"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_neighbours": p5_neighbours}

@@ -76,4 +76,13 @@ union all select doc_id, 'word_length' from s where n_words > 0 and (n_letters /
 union all select doc_id, 'symbols' from s where n_visible > 0 and n_symbols / n_visible > 0.2::double
 union all select doc_id, 'line_ends' from s where n_lines > 0 and n_ended / n_lines < 0.2::double
 union all select doc_id, 'common_words' from s where n_words > 0 and lang2 is not null and n_common / n_words < 0.25""",
+    "p5_found": """
+with v as (
+  select row_id, features as f from covtype
+  where len(features) = 54 and len(list_filter(features, lambda x: x is null or isnan(x))) = 0),
+d as (
+  select a.row_id as a, b.row_id as b, list_distance(a.f, b.f) as dist
+  from v a join v b on a.row_id <> b.row_id),
+n as (select *, row_number() over (partition by a order by dist, b) as rn from d)
+select distinct least(a, b) as row_a, greatest(a, b) as row_b from n where rn <= 5 and dist <= 0.03""",
 }
