@@ -37,12 +37,18 @@ class _Words:
     """Splits a text into maximal runs of letters and digits, lower-cased."""
 
     def __init__(self) -> None:
-        self.odd = re.compile(f"[{_other_numbers()}]")
+        odd = _other_numbers()
+        # A set of the lower plane alone is a bitmap to re; the others make it a list of ranges.
+        self.low = re.compile(f"[{''.join(c for c in odd if ord(c) < 0x10000)}]")
+        self.all = re.compile(f"[{odd}]")
 
     def __call__(self, text: str) -> list[str]:
         text = text.lower()
-        if not text.isascii() and self.odd.search(text):
-            text = self.odd.sub(" ", text)
+        if not text.isascii():
+            wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+            odd = self.all if wide else self.low
+            if odd.search(text):
+                text = odd.sub(" ", text)
         return _ALNUM.findall(text)
 
 
