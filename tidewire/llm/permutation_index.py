@@ -100,7 +100,7 @@ def _search(k: int, ranked: int, radius: float | None):
     return searched
 
 
-def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius: float | None = None, length: int = 54, prefix: int = 8, post: int = 3, probe: int = 8, ranked: int = 256, key: str = "row_id", features: str = "features") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius: float | None = None, length: int = 54, prefix: int = 16, post: int = 4, probe: int = 12, ranked: int = 512, key: str = "row_id", features: str = "features") -> DataFrame:
     """The k nearest other vectors of every query row: key, rank, neighbour, dist.
 
     queries has the keys that ask, each once; without it all rows ask. Distance is Euclidean,
