@@ -301,7 +301,12 @@ def baseline_starts(k: int, period: float) -> list[float]:
 
 def kernel_table(spark, kernels: list[list[Kernel]], points: int = 50):
     """The values of a kernel matrix on a grid over each plot support: i, j, t, value."""
-    rows = [(i, j, float(t), float(v)) for i, row in enumerate(kernels) for j, k in enumerate(row) if k.plot_support() not in (0.0, math.inf) for t in (x := np.linspace(0, k.plot_support(), points)) for v in (k.values(t),)]
+    rows = []
+    for i, row in enumerate(kernels):
+        for j, k in enumerate(row):
+            if 0 < k.plot_support() < math.inf:
+                x = np.linspace(0, k.plot_support(), points)
+                rows += [(i, j, float(t), float(v)) for t, v in zip(x, k.values(x), strict=True)]
     return spark.createDataFrame(rows, "i int, j int, t double, value double")
 
 

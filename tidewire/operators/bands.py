@@ -28,10 +28,17 @@ def band_pairs(left: DataFrame, right: DataFrame, behind: float, ahead: float =
     return a.join(b, (F.col("r") == F.col("s_r")) & (F.col("_b") == F.col("s__b")) & (lag <= F.lit(behind)) & (lag >= F.lit(-ahead))).drop("_b", "s__b").withColumn("lag", lag)
 
 
+def _below(lag: Column, edges: list[float], first: int = 0) -> Column:
+    """How many of the edges lie below lag: a tree of comparisons, as deep as their logarithm."""
+    if not edges:
+        return F.lit(first)
+    half = len(edges) // 2
+    return F.when(lag > F.lit(edges[half]), _below(lag, edges[half + 1 :], first + half + 1)).otherwise(_below(lag, edges[:half], first))
+
+
 def right_closed_bin(lag: Column, edges) -> Column:
     """Bin m with edges[m] < lag <= edges[m + 1]; lag 0 belongs to bin 0."""
-    below = sum((F.lit(float(e)) < lag).cast("int") for e in edges[1:]) + (F.lit(float(edges[0])) < lag).cast("int")
-    return F.when(lag == 0, 0).otherwise(below - 1)
+    return F.when(lag == 0, 0).otherwise(_below(lag, [float(e) for e in edges]) - 1)
 
 
 def left_closed_bin(lag: Column, width: float) -> Column:
