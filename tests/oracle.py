@@ -35,7 +35,7 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
 
 
 def compare(spark, con, name: str, query, sql: str, folder: str = FOLDER) -> str:
-    """Empty if both sides agree, else what differs."""
+    """'same' with the number of rows if both sides agree, else what differs."""
     df = query(spark, folder)
     ours = rows_of(df.columns, df.collect())
     rel = con.execute(sql)
@@ -44,7 +44,7 @@ def compare(spark, con, name: str, query, sql: str, folder: str = FOLDER) -> str
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} and {sorted(columns)}"
     if ours == theirs:
-        return ""
+        return f"same, {len(ours)} rows"
     a, b = set(ours), set(theirs)
     return f"{len(ours)} and {len(theirs)} rows; only ours {sorted(a - b, key=repr)[:3]}; only SQL {sorted(b - a, key=repr)[:3]}"
 
@@ -64,4 +64,4 @@ if __name__ == "__main__":
             said = compare(spark, con, name, query, sql[name], folder) if name in sql else f"(no SQL) {query(spark, folder).count()} rows"
         except Exception as e:
             said = f"{type(e).__name__}: {str(e)[:1500]}"
-        print(f"{name}: {said or 'same'} ({time.time() - began:.1f} s)", flush=True)
+        print(f"{name}: {said} ({time.time() - began:.1f} s)", flush=True)

@@ -231,11 +231,18 @@ def robust_regression(rows: DataFrame, C_rows: float, penalty: str = "l2", C: fl
     """
     model = RowIntercepts(rows, intercept)
     n, p = model.n, model.p
-    gram = Glm(rows, losses.Squared(), False).gram()
-    lip = (float(np.linalg.eigvalsh(gram)[-1]) + 1 + intercept) / n
-    step = 1 / lip
+    size = p + intercept
+
+    def partial(b):
+        x, label = dense(b, "features", p), b.column(1).to_numpy(zero_copy_only=False)
+        x = np.c_[x, np.ones(len(x))] if intercept else x
+        return np.r_[(x.T @ x).ravel(), x.T @ label]
+
+    sums = task_sums(model.rows.select("features", "label"), size * size + size, partial)
+    gram, target = sums[: size * size].reshape(size, size), sums[size * size :]
+    step = n / (float(np.linalg.eigvalsh(gram)[-1]) + 1)
     shrink = penalty_prox(penalty, C, p)
-    c = y = np.zeros(p + intercept)
+    c = y = np.linalg.lstsq(gram, target, rcond=None)[0]  # the problem is convex: any start will do
     spark = rows.sparkSession
     mu = look = spark.createDataFrame([], f"row_id {dict(rows.dtypes)['row_id']}, mu double")
     t, before = 1.0, math.inf
