@@ -189,7 +189,10 @@ def _proximities(block: _Block, w: _Windows, rarest: int, span: int, known: set)
             hit = block.lists[at]
             near = repeated | ((hit >= base) & (hit <= (base | (place + span))) & (np.searchsorted(block.base, hit & ((1 << 40) - 1), side="right") - 1 == anchor))
             row, place, anchor = row[near], place[near], anchor[near]
-        for r, p, d in zip(row, place, anchor, strict=True):
+        # One hit per document and item is enough: the first.
+        _, first = np.unique(np.stack([anchor, w.item[row]]), axis=1, return_index=True) if len(row) else (None, [])
+        for i in first:
+            r, p, d = row[i], place[i], anchor[i]
             pair = int(block.ids[d]), int(w.item[r])
             if pair not in known:
                 out.setdefault(pair, (*pair, "proximity", int(min(rarest, w.n)), int(p - block.base[d]), int(w.at[r])))

@@ -13,7 +13,7 @@ from tidewire.llm.tokens import VOCABULARY, token_counts
 from tidewire.session import written
 
 #: Plan rows are collected; more than these are refused.
-MOST_TARGETS = 100_000
+MOST_TARGETS = 2000
 #: Bins in which the order statistics of a group are searched.
 _BINS = 4096
 #: Size classes per doubling of the tokens; a band is one doubling.
