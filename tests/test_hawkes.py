@@ -141,3 +141,52 @@ def test_invalid_events(spark):
     assert d.violations()["bad_time"] == 1
     with pytest.raises(ValueError):
         d.checked()
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_ranks_and_previous(spark, parts):
+    from tidewire.operators.scan import previous, ranks
+
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(b), float(c), i) for i, (a, b, c) in enumerate(zip(rng.choice([1, 1, 1, 1, 2, 3], 200), rng.integers(0, 2, 200), np.round(rng.normal(size=200), 1)))]
+    df = spark.createDataFrame(rows, "a int, b int, v double, i int")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["i"]: (r["rank"], r["total"]) for r in ranks(df, "a", ["v", "i"]).collect()}
+        before = {r["i"]: r["before"] for r in previous(df, ["a", "b"], ["v", "i"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for a in (1, 2, 3):
+        own = sorted((r for r in rows if r[0] == a), key=lambda r: (r[2], r[3]))
+        assert [got[r[3]] for r in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
+        for b in (0, 1):
+            line = [r for r in own if r[1] == b]
+            assert [before[r[3]] for r in line] == [None, *(r[2] for r in line[:-1])]
+    assert ranks(df.limit(0), "a", ["v"]).count() == previous(df.limit(0), ["a"], ["v"], "v").count() == 0
+
+
+def test_any_kernels(spark):
+    from tidewire.functions import kernels as K
+    from tidewire.operators import general
+
+    class Triangle(K.Kernel):  # a kernel of one's own without a Column form
+        support = 2.0
+
+        def shape(self, t):
+            return 0.2 * np.maximum(1 - t / 2, 0)
+
+    rng = np.random.default_rng(0)
+    events = [np.sort(rng.uniform(0, 30, 40)).round(2) for _ in range(2)]
+    data = from_lists(spark, [[e.tolist() for e in events]], 30.0)
+    mu = [0.3, 0.5]
+    for own in (K.PowerLaw(0.1, 0.5, 1.5, 5), Triangle()):
+        kernels = [[K.Exponential(0.2, 1.5), own], [K.TimeFunctionKernel(t=[0, 1, 2], y=[0.3, 0.1, 0]), K.ExponentialSum((0.1, 0.2), (0.5, 2.0))]]
+        for r in general.kernel_intensities(data, kernels, mu).collect():
+            want = mu[r["node"]] + sum(kernels[r["node"]][j].values(r["t"] - e[e < r["t"]]).sum() for j, e in enumerate(events))
+            assert r["intensity"] == pytest.approx(want, rel=1e-10)
+        for r in general.kernel_compensators(data, kernels, mu).collect():
+            want = mu[r["node"]] * r["t"] + sum(kernels[r["node"]][j].primitive(float(r["t"] - s)) for j, e in enumerate(events) for s in e if s < r["t"])
+            assert r["compensator"] == pytest.approx(want, rel=1e-9)
+    assert general.matched_bases([[1, 2.0], [4, 1.0]], [[8, 2.1], [1, 2.0]])[0][:2] == (0, 1)

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 
 from tidewire.data import EventData
 from tidewire.operators import bands
+from tidewire.operators.scan import previous
 from tidewire.session import written
 
 
 def increments(data: EventData, cumulative: bool = True) -> EventData:
     """Give every event the mark increment: the difference of successive cumulative marks in
     its realization and node, or 1 where events have no mark."""
-    if "mark" not in data.events.columns:
-        marked = data.events.withColumn("mark", F.lit(1.0)).withColumn("ordinal", F.lit(None).cast("int"))
-    else:
-        w = Window.partitionBy("r", "node").orderBy("t", "eid")
-        step = F.col("mark") - F.coalesce(F.lag("mark").over(w), F.lit(0.0)) if cumulative else F.col("mark")
-        marked = data.events.withColumn("mark", step)
-    return EventData(marked.drop("ordinal"), data.ends, data.n_nodes)
+    events = data.events
+    if "mark" not in events.columns:
+        events = events.withColumn("mark", F.lit(1.0))
+    elif cumulative:
+        events = previous(events, ["r", "node"], ["t", "eid"], "mark").withColumn("mark", F.col("mark") - F.coalesce("before", F.lit(0.0))).drop("before")
+    return EventData(events, data.ends, data.n_nodes)
 
 
 def delayed(data: EventData, nodes: list[int], delay: float) -> EventData:
@@ -68,9 +68,10 @@ def law_counts(data: EventData, lags, cuts: dict[int, list[float]] | None = None
         events = events.withColumn("mark", F.lit(1.0))
     spark = events.sparkSession
     table = spark.createDataFrame([(i, m, float(a), float(b)) for i, v in _intervals(data.n_nodes, cuts or {}).items() for m, (a, b) in enumerate(v)], "node int, l int, low double, high double")
-    w = Window.partitionBy("r", "node").orderBy("t", "eid")
-    sources = events.withColumn("_first", F.lag("eid").over(w).isNull()).join(F.broadcast(table), "node").where("_first or (mark >= low and mark <= high)").join(data.ends, "r").where(F.col("t") + top < F.col("end_time")).select("r", "t", "eid", F.col("node").alias("j"), "l")
-    spans = data.events.groupBy("r", "node").agg(F.min(F.struct("t", "eid")).alias("a"), F.max(F.struct("t", "eid")).alias("z")).select("r", F.col("node").alias("i"), "a", "z")
+    spans = data.events.groupBy("r", "node").agg(F.min(F.struct("t", "eid")).alias("a"), F.max(F.struct("t", "eid")).alias("z"))
+    first = spans.select("r", "node", F.col("a.eid").alias("_first"))
+    spans = spans.select("r", F.col("node").alias("i"), "a", "z")
+    sources = events.join(first, ["r", "node"]).join(F.broadcast(table), "node").where("eid = _first or (mark >= low and mark <= high)").join(data.ends, "r").where(F.col("t") + top < F.col("end_time")).select("r", "t", "eid", F.col("node").alias("j"), "l")
     p = bands.band_pairs(data.events.select("r", "t", "eid", F.col("node").alias("i")), sources.select("r", "t", "j", "l"), top).where("lag > 0")
     p = p.join(spans, ["r", "i"]).where((F.col("eid") != F.col("a.eid")) & (F.col("eid") != F.col("z.eid")))
     m = bands.right_closed_bin(F.col("lag"), lags)
@@ -187,19 +188,27 @@ class ConditionalLaw:
             d = np.diff(fine)
             one = np.r_[0, np.cumsum(d * (y[1:] + y[:-1]) / 2)]
             two = np.r_[0, np.cumsum(d * (y[1:] + y[:-1]) / 2 * fine[:-1] + d * d * (np.diff(y) / 3 + y[:-1] / 2))]
-            return (lambda s: np.interp(s, fine, one)), (lambda s: np.interp(s, fine, two))
+            return (lambda s: one[at(s)]), (lambda s: two[at(s)])
+
+        def at(s):
+            """The sample from s on that is nearest; samples are all differences of nodes, so
+            only rounding moves s off one. The last sample stands for what lies beyond."""
+            i = np.minimum(np.searchsorted(fine, s), len(fine) - 1)
+            j = np.minimum(i + 1, len(fine) - 1)
+            near = np.where(np.abs(fine[i] - s) < np.abs(fine[j] - s), i, j)
+            return np.where(s >= fine[-1], len(fine) - 1, near)
 
         g1, g2 = integrals((j1, j, l))
         b1, b2 = integrals((j, j1, l1))
         block = np.zeros((n, n))
         for q in range(n):
             left, width = x[q], w[q]
-            right = left + width
             # Over [left, right], with lag s = x[n] - u after, u - x[n] before.
-            hi, lo = np.maximum(x - left, 0), np.maximum(x - right, 0)
+            done = x > left
+            hi, lo = np.where(done, x - left, 0.0), np.where(done, x - left - width, 0.0)
             m0, m1 = g1(hi) - g1(lo), g2(hi) - g2(lo)
             up = ((x - left) * m0 - m1) / width  # weight of the right node: (u - left) / width
-            hi, lo = np.maximum(right - x, 0), np.maximum(left - x, 0)
+            hi, lo = np.where(done, 0.0, left - x + width), np.where(done, 0.0, left - x)
             k0, k1 = ratio * (b1(hi) - b1(lo)), ratio * (b2(hi) - b2(lo))
             up = up + ((x - left) * k0 + k1) / width
             total = m0 + k0

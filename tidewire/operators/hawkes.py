@@ -7,13 +7,12 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.data import EventData
-from tidewire.operators.scan import decayed_sums
-from tidewire.operators.weighted import Sums, task_sums, weighted_sums, dense
-from tidewire.session import written
+from tidewire.operators.scan import decayed_sums, previous, ranks
+from tidewire.operators.weighted import Sums, dense, task_sums, weighted_sums
 
 
 def _rows(a: np.ndarray) -> Column:
@@ -106,27 +105,24 @@ def residuals(compensated: DataFrame) -> DataFrame:
 
     The first event of a realization and node gives none.
     """
-    w = Window.partitionBy("r", "node").orderBy("t", "eid")
-    return compensated.withColumn("residual", F.col("compensator") - F.lag("compensator").over(w)).where("residual is not null")
+    gaps = previous(compensated, ["r", "node"], ["t", "eid"], "compensator").where("before is not null")
+    return gaps.withColumn("residual", F.col("compensator") - F.col("before")).drop("before")
 
 
 def qq_points(gaps: DataFrame) -> DataFrame:
     """Sorted residuals of every node against exponential quantiles: node, k, residual, expected."""
-    w = Window.partitionBy("node")
-    k = F.row_number().over(w.orderBy("residual")) - 1
-    return gaps.select("node", k.alias("k"), "residual", (-F.log1p(-(k + 0.5) / F.count("*").over(w))).alias("expected"))
+    k = F.col("rank") - 1
+    return ranks(gaps.select("node", "residual"), "node", ["residual"]).select("node", k.cast("int").alias("k"), "residual", (-F.log1p(-(k + 0.5) / F.col("total"))).alias("expected"))
 
 
 def residual_summary(gaps: DataFrame) -> DataFrame:
     """Per node: n, mean, variance, distance of the empirical distribution from the unit
     exponential, and correlation of successive residuals."""
-    w = Window.partitionBy("node")
-    k = F.row_number().over(w.orderBy("residual"))
-    n = F.count("*").over(w)
     cdf = 1 - F.exp(-F.col("residual"))
-    far = F.greatest(F.abs(k / n - cdf), F.abs(cdf - (k - 1) / n))
-    near = F.lag("residual").over(Window.partitionBy("r", "node").orderBy("t", "eid"))
-    return gaps.withColumn("far", far).withColumn("before", near).groupBy("node").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.var_samp("residual").alias("variance"), F.max("far").alias("ks"), F.corr("residual", "before").alias("lag1"))
+    far = F.greatest(F.abs(F.col("rank") / F.col("total") - cdf), F.abs(cdf - (F.col("rank") - 1) / F.col("total")))
+    near = previous(gaps, ["r", "node"], ["t", "eid"], "residual")
+    placed = ranks(near.select("node", "residual", "before"), "node", ["residual"]).withColumn("far", far)
+    return placed.groupBy("node").agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.var_samp("residual").alias("variance"), F.max("far").alias("ks"), F.corr("residual", "before").alias("lag1"))
 
 
 def source_integrals(data: EventData, decays: list[float]) -> np.ndarray:
@@ -150,7 +146,7 @@ class LogLikelihood:
     @cached_property
     def features(self) -> DataFrame:
         rates = ExpParameters(np.zeros(self.data.n_nodes), self._alpha(None), self.decays).rates
-        return written(exp_features(self.data, rates).select("node", "phi"), "exp-features")
+        return exp_features(self.data, rates).select("node", "phi")  # read from the scan's table
 
     def _alpha(self, flat) -> np.ndarray:
         n = self.data.n_nodes
@@ -227,7 +223,7 @@ def least_squares_statistics(data: EventData, rates: list[float]) -> LeastSquare
     """
     n, u = data.n_nodes, len(rates)
     width = n * u
-    f = written(exp_features(data, rates).select("r", "node", "t", "phi"), "ls-features")
+    f = exp_features(data, rates).select("r", "node", "t", "phi")
 
     def partial(b):
         node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -142,7 +142,7 @@ class SparseLowRank(_Fit):
 
     def prepare(self, data: EventData) -> None:
         self.data = data
-        self.features = written(hawkes.exp_features(data, [self.decay]).select("node", "phi"), "lowrank-features")
+        self.features = hawkes.exp_features(data, [self.decay]).select("node", "phi")  # read from the scan's table
         self.integrals = hawkes.source_integrals(data, [self.decay])[:, 0]
 
     def sums(self, mu, a) -> Sums:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.quantiles import quantiles
@@ -52,4 +52,5 @@ def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFram
 
 def distance_to_best(history: DataFrame, value: str = "obj") -> DataFrame:
     """A history with each value's distance from the least one."""
-    return history.withColumn("distance", F.col(value) - F.min(value).over(Window.partitionBy()))
+    least = history.agg(F.min(value).alias("_least"))  # one row
+    return history.join(F.broadcast(least)).withColumn("distance", F.col(value) - F.col("_least")).drop("_least")

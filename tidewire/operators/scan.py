@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +66,7 @@ def decayed_sums(rows: DataFrame, n_nodes: int, decays: list[float], node: str =
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, c, first = TaskContext.get().partitionId(), _Carry(n_nodes, rates), None
-        last_row = None
+        first_row = last_row = None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -74,7 +74,7 @@ def decayed_sums(rows: DataFrame, n_nodes: int, decays: list[float], node: str =
             t = b.column(at_t).to_numpy(zero_copy_only=False).astype(float)
             v = b.column(at_node).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             if first is None:
-                first = (r[0], t[0])
+                first, first_row = (r[0], t[0]), b.slice(0, 1)
             new = np.r_[True, (np.diff(r) != 0) | (np.diff(t) != 0)]
             start = np.flatnonzero(new)
             ir, it = r[start], t[start]
@@ -92,14 +92,12 @@ def decayed_sums(rows: DataFrame, n_nodes: int, decays: list[float], node: str =
             product, after = _scan(decay, add)
             if joins:
                 after += product[:, None, :] * c.after
-            left = after - add if not pending else None
             # The state before an instant: the state after the one before, decayed.
             before = np.zeros_like(after)
             before[1:] = decay[1:, None, :] * after[:-1]
             before[0] = decay[0] * c.after if joins else 0.0
             if pending:
                 before[0] = c.left
-            del left
             c.r, c.t, c.left, c.after = ir[-1], it[-1], before[-1].copy(), after[-1].copy()
             phi = before[which].reshape(len(r), -1)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(phi.ravel()), n_nodes * n_u).cast(pa.list_(pa.float64()))
@@ -107,25 +105,25 @@ def decayed_sums(rows: DataFrame, n_nodes: int, decays: list[float], node: str =
             none = pa.nulls(b.num_rows, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.full(b.num_rows, part, np.int32)), none], out_names)
         if last_row is not None:
-            # A summary row: the last realization's state, with where the task began.
-            state = pa.array([[float(first[0] == c.r), first[1], float(c.t), *c.after.ravel()]], pa.list_(pa.float64()))
-            row = list(last_row.columns)
-            row[at_t] = pa.array([first[1]], row[at_t].type)
-            yield pa.RecordBatch.from_arrays([*row, pa.array([[float(x) for x in ()]], pa.list_(pa.float64())), pa.array([part], pa.int32()), state], out_names)
+            # Summary rows: where the task began, and the last realization's time and state.
+            for row, state in ((first_row, [float(first[1])]), (last_row, [float(first[0] == c.r), float(c.t), *c.after.ravel().tolist()])):
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([[]], pa.list_(pa.float64())), pa.array([part], pa.int32()), pa.array([state], pa.list_(pa.float64()))], out_names)
 
     schema = T.StructType([*kept.schema.fields, T.StructField("phi", T.ArrayType(T.DoubleType())), T.StructField("_part", T.IntegerType()), T.StructField("_last", T.ArrayType(T.DoubleType()))])
     local = written(ordered.mapInArrow(scanned, schema), "scan")
-    ends = local.where("_last is not null").select("_part", F.col(by).alias("_r"), "_last").collect()  # a row per task
+    told: dict[int, dict] = {}
+    for e in local.where("_last is not null").select("_part", F.col(by).alias("_r"), "_last").collect():  # two rows per task
+        told.setdefault(e["_part"], {})["first" if len(e["_last"]) == 1 else "last"] = e
     carried = []
     state, s_r, s_t = None, None, 0.0
-    firsts = {r["_part"]: r["f"] for r in local.where("_last is null").groupBy("_part").agg(F.min(by).alias("f")).collect()}
-    for e in sorted(ends, key=lambda e: (firsts[e["_part"]], e["_last"][1])):
-        single, t_last, after = bool(e["_last"][0]), e["_last"][2], np.array(e["_last"][3:]).reshape(n_nodes, n_u)
-        if state is not None and s_r == firsts[e["_part"]]:
-            carried.append((e["_part"], s_r, s_t, state.ravel().tolist()))
+    for part, e in sorted(told.items(), key=lambda x: (x[1]["first"]["_r"], x[1]["first"]["_last"][0])):
+        begin, end = e["first"]["_r"], e["last"]
+        single, t_last, after = bool(end["_last"][0]), end["_last"][1], np.array(end["_last"][2:]).reshape(n_nodes, n_u)
+        if state is not None and s_r == begin:
+            carried.append((part, s_r, s_t, state.ravel().tolist()))
             if single:
                 after = after + state * np.exp(-rates * (t_last - s_t))
-        state, s_r, s_t = after, e["_r"], t_last
+        state, s_r, s_t = after, end["_r"], t_last
     body = local.where("_last is null").drop("_last")
     if not carried:
         return body.drop("_part")
@@ -137,6 +135,11 @@ def decayed_sums(rows: DataFrame, n_nodes: int, decays: list[float], node: str =
     return joined.select(*own, fixed.alias("phi"))
 
 
+def _spread(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows sorted by ranges over all tasks, written with the number of the task's range."""
+    return written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+
+
 def running_totals(rows: DataFrame, order: str, values: list[str], descending: bool = False) -> DataFrame:
     """Add to rows of distinct order the running sums of the values, as cum_<value>.
 
@@ -145,9 +148,7 @@ def running_totals(rows: DataFrame, order: str, values: list[str], descending: b
     more than its range.
     """
     by = F.col(order).desc() if descending else F.col(order).asc()
-    from pyspark.sql import Window
-
-    sorted_ = written(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "totals")
+    sorted_ = _spread(rows, [by], "totals")
     totals = sorted_.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values), F.min(order).alias("_o")).collect()
     base, run = [], dict.fromkeys(values, 0.0)
     for r in sorted(totals, key=lambda r: r["_o"], reverse=descending):
@@ -159,3 +160,39 @@ def running_totals(rows: DataFrame, order: str, values: list[str], descending: b
     w = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     summed = sorted_.select("*", *(F.sum(v).over(w).alias(f"_s_{v}") for v in values)).join(F.broadcast(before), "_part")
     return summed.select(*rows.columns, *((F.col(f"_s_{v}") + F.col(f"_b_{v}")).alias(f"cum_{v}") for v in values))
+
+
+def ranks(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Add rank, from 1 within each value of by in the order given, and total, the value's rows.
+
+    Ranges of (by, order) are ranked task by task; the counts of the ranges before, one per
+    range and value, are added by a small join, so a value with most of the rows spreads too.
+    """
+    sorted_ = _spread(rows.where(F.col(by).isNotNull()), [F.col(by), *(F.col(c) for c in order)], "ranks")
+    counts = sorted_.groupBy("_part", by).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("o"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("_part", by, before.alias("_before"), F.sum("n").over(Window.partitionBy(by)).alias("total"))
+    own = F.row_number().over(Window.partitionBy("_part", by).orderBy(*order))
+    return sorted_.withColumn("_own", own).join(base, ["_part", by]).select(*rows.columns, (F.col("_own") + F.col("_before")).alias("rank"), "total")
+
+
+def previous(rows: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
+    """Add the value of the row before in the order given, within the values of by; null for
+    the first. Only the last row of each range, one per task, is carried over."""
+    keys = [*by, *order]
+    sorted_ = _spread(rows, [F.col(c) for c in keys], "previous")
+    last = sorted_.groupBy("_part").agg(F.max_by(F.struct(*by, value), F.struct(*keys)).alias("l"), F.min(F.struct(*keys)).alias("o")).collect()
+    carried, kept = [], None
+    for r in sorted(last, key=lambda r: tuple(r["o"])):
+        if kept is not None:
+            carried.append((r["_part"], *kept))
+        kept = tuple(r["l"])
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    marked = sorted_.withColumn(name, F.lag(value).over(w)).withColumn("_k", F.row_number().over(w))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    extra = rows.sparkSession.createDataFrame(carried, ", ".join(["_part int", *(f"`_c_{c}` {kinds[c]}" for c in by), f"_cv {kinds[value]}"]))
+    match = [marked["_part"] == extra["_part"], marked["_k"] == 1, *(marked[c] == extra[f"_c_{c}"] for c in by)]
+    on = match[0]
+    for m in match[1:]:
+        on = on & m
+    return marked.join(F.broadcast(extra), on, "left").select(*rows.columns, F.coalesce(name, "_cv").alias(name))

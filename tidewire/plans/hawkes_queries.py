@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.data import EVENT_TYPES, HOURS, EventData, test_events
 from tidewire.functions import kernels as K
-from tidewire.operators import bands, claw, cumulants, hawkes, learners, rkhs
+from tidewire.operators import bands, claw, cumulants, general, hawkes, learners, rkhs
 from tidewire.operators.scan import decayed_sums
 from tidewire.operators.weighted import weighted_sums
 from tidewire.plans.shaping import array_table, named_values, r6, rounded, s6, sql_values
@@ -502,6 +502,21 @@ def node_order(spark: SparkSession, folder: str) -> DataFrame:
 SQL["node_order"] = f"with {_EV} select e.eid, count(p.eid) as past from ev e left join ev p on p.r = e.r and p.t < e.t group by e.eid"
 
 
+MIXED = [[POWER if (i + j) % 3 == 0 else K.Exponential(float(ALPHA[i, j]), BETA) if (i + j) % 3 == 1 else K.Zero() for j in range(D)] for i in range(D)]
+
+
+@query
+def mixed_kernel_intensity(spark: SparkSession, folder: str) -> DataFrame:
+    """Intensities under a matrix of power-law, exponential and zero kernels with periodic baselines."""
+    base = lambda t: K.piecewise_baseline(t, STEPS, PERIOD)
+    return general.kernel_intensities(test_events(spark, folder), MIXED, base).select("eid", r6("intensity").alias("intensity"))
+
+
+SQL["mixed_kernel_intensity"] = f"""with {_EV}, {_AL}, b as (select eid, r, node, t, [0.1, 0.3, 0.2, 0.5][cast(least(floor((t - 24 * floor(t / 24)) / 24 * 4), 3) as int) + 1]::double as b from ev)
+select b.eid, {s6(f"b + coalesce(sum(case when (b.node + p.node) % 3 = 0 and b.t - p.t < 12 then 0.05 * pow(0.5 + (b.t - p.t), -1.3) when (b.node + p.node) % 3 = 1 then a * {BETA} * exp(-{BETA} * (b.t - p.t)) else 0 end), 0)")} as intensity
+from b left join ev p on p.r = b.r and p.t < b.t left join al on al.i = b.node and al.j = p.node group by b.eid, b.b"""
+
+
 # Fits: iterative, so without SQL.
 
 

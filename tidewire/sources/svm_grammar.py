@@ -24,6 +24,7 @@ REASONS = ("label", "pair", "index", "value", "quote", "count")
 
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _TOKEN = re.compile(r"[^ \t]+")
+_PAIR = re.compile(rf"([0-9]{{1,18}}):({_NUMBER.pattern})")
 _DIGITS = re.compile(r"[0-9]+")
 _COUNT = re.compile(r"(?:^| )n=([0-9]+)")
 _ANCHOR = re.compile(
@@ -92,6 +93,13 @@ class _Parser:
             out.errors.append((0, at, token))
 
     def pair(self, out: Record, token: str, at: int, last: int) -> int:
+        plain = _PAIR.fullmatch(token)
+        if plain:
+            index, value = int(plain[1]), float(plain[2])
+            if index > last and (self.low is None or index >= self.low) and (self.high is None or index <= self.high) and math.isfinite(value):
+                out.index.append(index)
+                out.value.append(value)
+                return index
         left, colon, right = token.partition(":")
         if not (left and colon and right) or ":" in right:
             out.errors.append((1, at, token))
