@@ -88,7 +88,7 @@ def claws(data: EventData, lags, cuts: dict[int, list[float]] | None = None) ->
     counts = law_counts(data, lags, cuts)
     node = data.events.groupBy("r", "node").count()
     grid = data.ends.select("r", "end_time", F.explode(F.sequence(F.lit(0), F.lit(data.n_nodes - 1))).alias("i"))
-    rate = grid.join(node.select("r", F.col("node").alias("i"), "count"), ["r", "i"], "left").select("r", "i", (F.coalesce("count", F.lit(0)) / F.col("end_time")).alias("rate"))
+    rate = grid.join(node.select("r", F.col("node").alias("i"), "count"), ["r", "i"], "left").select("r", "i", F.coalesce(F.try_divide(F.coalesce("count", F.lit(0)), F.col("end_time")), F.lit(0.0)).alias("rate"))
     spark = data.events.sparkSession
     keys = spark.createDataFrame([(j, m, k, lags[k + 1] - lags[k], (lags[k] + lags[k + 1]) / 2) for j, v in _intervals(data.n_nodes, cuts or {}).items() for m in range(len(v)) for k in range(len(lags) - 1)], "j int, l int, k int, width double, lag double")
     full = rate.join(F.broadcast(keys)).join(counts, ["r", "i", "j", "l", "k"], "left")
@@ -135,7 +135,7 @@ class ConditionalLaw:
             for m in range(min(self.marks[j1], self.marks[j2])):
                 mean = (self.claw[i1, j1, m] + self.claw[i2, j2, m]) / 2
                 self.claw[i1, j1, m] = self.claw[i2, j2, m] = mean
-        per = data.events.groupBy("r", "node").count().join(data.ends, "r").groupBy("node").agg((F.sum("count") / F.sum("end_time")).alias("rate"))
+        per = data.events.groupBy("r", "node").count().join(data.ends, "r").groupBy("node").agg(F.coalesce(F.try_divide(F.sum("count"), F.sum("end_time")), F.lit(0.0)).alias("rate"))
         self.mean = np.zeros(n)
         for r in per.collect():
             self.mean[r["node"]] = r["rate"]

@@ -17,7 +17,7 @@ def rates(data: EventData) -> DataFrame:
     time of the last event."""
     grid = data.ends.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(data.n_nodes - 1))))
     counts = data.events.groupBy("r", "node").agg(F.count("*").alias("n"), F.max("t").alias("last"))
-    return grid.join(counts, ["r", "node"], "left").fillna(0, ["n"]).withColumn("rate", F.col("n") / F.col("end_time"))
+    return grid.join(counts, ["r", "node"], "left").fillna(0, ["n"]).withColumn("rate", F.coalesce(F.try_divide("n", "end_time"), F.lit(0.0)))
 
 
 def mean_intensity(data: EventData) -> np.ndarray:
@@ -45,8 +45,8 @@ def covariance_terms(data: EventData, h: float) -> DataFrame:
     p = p.join(base.select("r", F.col("node").alias("s_node"), "last"), ["r", "s_node"]).where(F.col("last") >= F.col("t") + 2 * h)
     sums = p.groupBy("r", F.col("node").alias("i"), F.col("s_node").alias("j")).agg(F.count_if(F.abs("lag") < h).alias("near"), F.sum(2 * h - F.abs("lag")).alias("weight"))
     both = terms.join(sums, ["r", "i", "j"], "left").fillna(0, ["near", "weight"])
-    c = (F.col("near") - F.col("n") * F.col("rate") * (2 * h)) / F.col("end_time")
-    k = (F.col("weight") - F.col("n") * F.col("rate") * (4 * h * h)) / F.col("end_time")
+    c = F.try_divide(F.col("near") - F.col("n") * F.col("rate") * (2 * h), F.col("end_time"))
+    k = F.try_divide(F.col("weight") - F.col("n") * F.col("rate") * (4 * h * h), F.col("end_time"))
     return both.select("r", "i", "j", c.alias("c"), k.alias("k"))
 
 
@@ -78,7 +78,7 @@ def skewness_terms(data: EventData, h: float, symmetric: DataFrame) -> DataFrame
     goes_on = (F.col("b")[F.col("i")]["last"] >= F.col("t") + h) & (F.col("b")[F.col("j")]["last"] >= F.col("t") + h)
     sums = rows.where(goes_on).groupBy("r", "i", "j", "k", "kind").agg(F.sum(off("i") * off("j")).alias("s"), F.count("*").alias("n"), F.first("end_time").alias("end_time"))
     out = sums.join(symmetric.select("r", "i", "j", F.col("k").alias("jk")), ["r", "i", "j"], "left").fillna(0.0, ["jk"])
-    return out.select("r", "i", "j", "k", "kind", ((F.col("s") - F.col("n") * F.col("jk")) / F.col("end_time")).alias("e"))
+    return out.select("r", "i", "j", "k", "kind", F.try_divide(F.col("s") - F.col("n") * F.col("jk"), F.col("end_time")).alias("e"))
 
 
 class Cumulants:

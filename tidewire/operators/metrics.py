@@ -39,7 +39,7 @@ def roc_points(rows: DataFrame, score: str = "score", label: str = "label") -> D
     cum = running_totals(per, "threshold", ["pos", "neg"], descending=True)
     all_ = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     # One row of totals.
-    return cum.join(F.broadcast(all_)).select("threshold", (F.col("cum_neg") / F.col("q")).alias("fpr"), (F.col("cum_pos") / F.col("p")).alias("tpr"))
+    return cum.join(F.broadcast(all_)).select("threshold", F.try_divide("cum_neg", "q").alias("fpr"), F.try_divide("cum_pos", "p").alias("tpr"))
 
 
 def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -47,7 +47,7 @@ def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFram
     per = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1 - F.col(label).cast("double")).alias("neg"))
     cum = running_totals(per, "s", ["neg"])
     won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
-    return cum.agg((won / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return cum.agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def distance_to_best(history: DataFrame, value: str = "obj") -> DataFrame:
