@@ -199,8 +199,8 @@ def overlaps(records: DataFrame, spec: Spec, key: str = "row_id", split: str = "
     index, probe = reps.where("held = 0"), reps.where("held = 1")
     a, b = written(_seeds(index, spec, True), "overlap-index"), written(_seeds(probe, spec, False), "overlap-probe")
 
-    counted = lambda d, name: d.groupBy("cls", "seed").agg(F.count("*").alias(name))
-    crowd = counted(a, "na").join(counted(b, "nb"), ["cls", "seed"]).where(F.col("na") * F.col("nb") > hot).select("cls", "seed")
+    marked = [d.select("cls", "seed", F.lit(s).cast("long").alias("na"), F.lit(1 - s).cast("long").alias("nb")) for d, s in ((a, 1), (b, 0))]
+    crowd = marked[0].unionByName(marked[1]).groupBy("cls", "seed").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).where(F.col("na") * F.col("nb") > hot).select("cls", "seed")
     crowd = written(crowd, "overlap-hot")
     joined = _met(a, b, crowd, "left_anti")
     if not crowd.isEmpty():
