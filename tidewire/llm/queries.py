@@ -117,3 +117,16 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
+
+
+def p4_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many records each plan of sample_plan got."""
+    return p4_sample(spark, folder).groupBy("plan_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("records"))
+
+
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact counts behind the statistics of every document's text."""
+    return p8_stats(spark, folder).select("doc_id", "n_words", "n_letters", "n_visible", "n_symbols", "n_lines", "n_ended", "n_common")
+
+
+QUERIES |= {"p4_sizes": p4_sizes, "p8_counts": p8_counts}

@@ -33,6 +33,23 @@ with near as (
 p as (select * from near where n_diff <= most)
 """
 
+_P8 = """
+with d as (
+  select doc_id, text, lower(left(lang, 2)) as lang2,
+    list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') as w,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ln
+  from documents where text is not null),
+c as (select lang, list(word) as words from common_words group by lang),
+s as (
+  select doc_id, lang2, len(w) as n_words,
+    length(regexp_replace(text, '[^\\p{L}]', '', 'g')) as n_letters,
+    length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) as n_visible,
+    length(regexp_replace(text, '[\\p{L}\\p{Nd} \\t\\n\\r]', '', 'g')) as n_symbols,
+    len(ln) as n_lines, len(list_filter(ln, lambda x: right(x, 1) in ('.', '!', '?'))) as n_ended,
+    len(list_filter(w, lambda x: coalesce(list_contains(c.words, lower(x)), false))) as n_common
+  from d left join c on d.lang2 = c.lang)
+"""
+
 SQL = {
     "p2_found": _P2 + "select dataset, least(trn, other) as row_a, greatest(trn, other) as row_b from p",
     "p2_report": _P2
@@ -56,21 +73,8 @@ g as (
   select id, side, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as gram
   from w where len(w) >= 10)
 select distinct d.id as doc_id, i.id as item_id from g d join g i on d.gram = i.gram where d.side = 0 and i.side = 1""",
-    "p8_found": """
-with d as (
-  select doc_id, text, lower(left(lang, 2)) as lang2,
-    list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: x <> '') as w,
-    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as ln
-  from documents where text is not null),
-c as (select lang, list(word) as words from common_words group by lang),
-s as (
-  select doc_id, lang2, len(w) as n_words,
-    length(regexp_replace(text, '[^\\p{L}]', '', 'g')) as n_letters,
-    length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) as n_visible,
-    length(regexp_replace(text, '[\\p{L}\\p{Nd} \\t\\n\\r]', '', 'g')) as n_symbols,
-    len(ln) as n_lines, len(list_filter(ln, lambda x: right(x, 1) in ('.', '!', '?'))) as n_ended,
-    len(list_filter(w, lambda x: coalesce(list_contains(c.words, lower(x)), false))) as n_common
-  from d left join c on d.lang2 = c.lang)
+    "p8_found": _P8
+    + """
 select doc_id, 'few_words' as failed from s where n_words < 25
 union all select doc_id, 'word_length' from s where n_words > 0 and (n_letters / n_words < 3.5 or n_letters / n_words > 7.5)
 union all select doc_id, 'symbols' from s where n_visible > 0 and n_symbols / n_visible > 0.2::double
@@ -85,4 +89,9 @@ d as (
   from v a join v b on a.row_id <> b.row_id),
 n as (select *, row_number() over (partition by a order by dist, b) as rn from d)
 select distinct least(a, b) as row_a, greatest(a, b) as row_b from n where rn <= 5 and dist <= 0.03""",
+    "p8_counts": _P8 + "select doc_id, n_words, n_letters, n_visible, n_symbols, n_lines, n_ended, n_common from s",
+    "p4_sizes": """
+select plan_id, least(k, count(distinct row_id)) as n, least(k, count(distinct row_id)) as records
+from sample_plan p join kdd2010 r on (p.split is null or p.split = r.split) and (p.learner_id is null or p.learner_id = r.learner_id)
+where row_id is not null and k > 0 group by plan_id, k""",
 }
