@@ -66,24 +66,29 @@ class Glm:
         self.size = self.p + intercept
         self.n_calls = 0
 
-    def loss_and_grad(self, coeffs, batch: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
-        """Mean loss and gradient over all rows, or over batch (number, batches) of them."""
-        c, function, p, intercept = np.asarray(coeffs, float), self.loss_function, self.p, self.intercept
+    def evaluate(self, points: list, batch: tuple[int, int] | None = None) -> list[tuple[float, np.ndarray]]:
+        """Mean loss and gradient at several coefficient vectors, in one pass over all rows or
+        over batch (number, batches) of them."""
+        c, function, p, intercept = np.stack([np.asarray(x, float) for x in points], axis=1), self.loss_function, self.p, self.intercept
         self.n_calls += 1
 
         def partial(b):
             x, y = dense(b, "features", p), b.column(0).to_numpy(zero_copy_only=False)
             x = np.c_[x, np.ones(len(x))] if intercept else x
-            value, slope = function.both(x @ c, y)
-            return np.r_[len(y), value.sum(), slope @ x]
+            value, slope = function.both(x @ c, y[:, None])
+            return np.r_[len(y), value.sum(axis=0), (slope.T @ x).ravel()]
 
         rows = self.rows if batch is None else self.rows.where(F.pmod("u", F.lit(batch[1])) == batch[0])
-        s = task_sums(rows.select("label", "features"), 2 + self.size, partial)
+        m = c.shape[1]
+        s = task_sums(rows.select("label", "features"), 1 + m + m * self.size, partial)
         w = c.copy()
-        if self.intercept:
+        if intercept:
             w[-1] = 0
-        n = max(s[0], 1)
-        return s[1] / n + self.l2 / 2 * w @ w, s[2:] / n + self.l2 * w
+        n, grads = max(s[0], 1), s[1 + m :].reshape(m, self.size)
+        return [(s[1 + i] / n + self.l2 / 2 * w[:, i] @ w[:, i], grads[i] / n + self.l2 * w[:, i]) for i in range(m)]
+
+    def loss_and_grad(self, coeffs, batch: tuple[int, int] | None = None) -> tuple[float, np.ndarray]:
+        return self.evaluate([coeffs], batch)[0]
 
     def loss(self, coeffs) -> float:
         return self.loss_and_grad(coeffs)[0]

@@ -13,6 +13,16 @@ import numpy as np
 from tidewire.functions.prox import Prox, ProxL2Squared, ProxZero
 from tidewire.functions.special import minimise, relative_distance
 
+
+
+def _evaluate(model, points: list, batch: tuple[int, int] | None = None) -> list[tuple[float, np.ndarray]]:
+    """Losses and gradients at several points, in one pass where the model can do so."""
+    extra = () if batch is None else (batch,)
+    if hasattr(model, "evaluate"):
+        return model.evaluate(points, *extra)
+    return [model.loss_and_grad(x, *extra) for x in points]
+
+
 SOLVERS = ("gd", "agd", "adagrad", "bfgs", "gfb", "scpg", "sdca", "sgd", "svrg", "saga")
 
 
@@ -91,35 +101,34 @@ class Solver:
             if fast:
                 new_t = (1 + math.sqrt(1 + 4 * t * t)) / 2
                 y, t = new + (t - 1) / new_t * (new - x), new_t
-            # Plain descent needs the gradient where it measures the objective; the fast one at y.
-            value, grad = model.loss_and_grad(new)
-            obj = value + prox.value(new)
+            # The objective is measured at the new point; the next gradient is taken at y, or there too.
+            found = _evaluate(model, [new, y] if fast else [new])
+            obj, grad = found[0][0] + prox.value(new), found[-1][1]
             old, x = x, new
             if self._done(i, x, old, obj, before, step):
                 break
             before = obj
-            if fast:
-                grad = model.loss_and_grad(y)[1]
         return x
 
     def _stochastic(self, model, prox, x, step):
         rng, m = np.random.default_rng(self.seed), self.batches
         before = model.loss_and_grad(x)[0] + prox.value(x)
         table = np.stack([model.loss_and_grad(x, (b, m))[1] for b in range(m)]) if self.name == "saga" else None
-        last = None
+        last = full_grad = None
         for i in range(1, self.max_iter + 1):
             old, points = x.copy(), []
             if self.name == "svrg":
-                anchor, full = x.copy(), model.loss_and_grad(x)[1]
+                anchor, full = x.copy(), full_grad if full_grad is not None else model.loss_and_grad(x)[1]
                 if self.bb and last is not None:
                     s, d = anchor - last[0], full - last[1]
                     if s @ d > 1e-30:
                         step = float(s @ s / (s @ d)) / m
                 last = anchor, full
             for b in rng.permutation(m):
-                g = model.loss_and_grad(x, (int(b), m))[1]
+                found = _evaluate(model, [x, anchor] if self.name == "svrg" else [x], (int(b), m))
+                g = found[0][1]
                 if self.name == "svrg":
-                    g = g - model.loss_and_grad(anchor, (int(b), m))[1] + full
+                    g = g - found[1][1] + full
                 elif self.name == "saga":
                     mean = table.mean(axis=0)
                     g, table[b] = g - table[b] + mean, g
@@ -127,7 +136,8 @@ class Solver:
                 points.append(x)
             if self.name == "svrg" and self.average != "last":
                 x = np.mean(points, axis=0) if self.average == "avg" else points[int(rng.integers(m))]
-            obj = model.loss_and_grad(x)[0] + prox.value(x)
+            value, full_grad = model.loss_and_grad(x)
+            obj = value + prox.value(x)
             if self._done(i, x, old, obj, before, step):
                 break
             before = obj

@@ -440,4 +440,4 @@ def fit_case_series(spark: SparkSession, folder: str) -> DataFrame:
 def fit_robust_regression(spark: SparkSession, folder: str) -> DataFrame:
     """Parts whose price is far from a line in their size."""
     p = table(spark, folder, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_retailprice") / 1000).alias("label"), F.array((F.col("p_size") / 50).cast("double")).alias("features"))
-    return glm.robust_regression(p, C_rows=40000.0, max_iter=8)[1]
+    return glm.robust_regression(p, C_rows=100000.0, max_iter=8)[1]
