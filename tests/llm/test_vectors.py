@@ -122,3 +122,17 @@ def test_blocks_and_recall(spark, monkeypatch):
     got, want = near(spark, rows, 5, post=4, probe=8, ranked=40), brute_near(rows, 5)
     hit = sum(len({got.get((i, r), (None,))[0] for r in range(1, 6)} & {want[i, r][0] for r in range(1, 6)}) for i in {k[0] for k in want})
     assert hit / len(want) >= 0.9
+
+
+def test_contents_with_a_shared_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewire.llm import contents
+
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [1.0]), (4, [2.0])], "row bigint, x array<double>")
+    for same in (False, True):
+        if same:
+            monkeypatch.setattr(contents.F, "xxhash64", lambda *_: F.lit(7).cast("bigint"))
+        reps, members = contents.contents(df, [], "contents")
+        assert reps.count() == 2
+        assert {r["row"]: r["rep"] for r in members.collect()} == {1: 1, 2: 2, 3: 1, 4: 2}

@@ -12,6 +12,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.contents import contents
+from tidewire.session import written
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of _BASE modulo 2**64.
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -191,11 +194,9 @@ def overlaps(records: DataFrame, spec: Spec, key: str = "row_id", split: str = "
     """
     side = F.when(F.col(split) == train, 0).when(F.col(split).isin(*held), 1)
     taken = records.select(F.col(key).alias("row"), side.cast("tinyint").alias("held"), (F.col(cls) if cls else F.lit(0)).cast("tinyint").alias("cls"), F.transform(features, lambda v: v.cast("double") + F.lit(0.0)).alias("x"))
-    taken = taken.where(f"held is not null and cls is not null and x is not null and size(x) = {spec.length} and row is not null").withColumn("h", F.xxhash64("x"))
-    from tidewire.session import written
-
-    reps = written(taken.groupBy("held", "cls", "h", "x").agg(F.min("row").alias("rep")), "overlap-reps")
-    members = taken.join(reps, ["held", "cls", "h", "x"]).select(F.col("row").alias(key), "held", "rep")
+    taken = taken.where(f"held is not null and cls is not null and x is not null and size(x) = {spec.length} and row is not null")
+    reps, members = contents(taken, ["held", "cls"], "overlap-reps")
+    members = members.select(F.col("row").alias(key), "held", "rep")
     index, probe = reps.where("held = 0"), reps.where("held = 1")
     a, b = written(_seeds(index, spec, True), "overlap-index"), written(_seeds(probe, spec, False), "overlap-probe")
 

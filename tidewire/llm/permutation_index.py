@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.llm.contents import contents
 from tidewire.session import written
 
 #: Vectors per pivot that the number of pivots aims at, and its bounds.
@@ -118,9 +119,8 @@ def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, rad
     """
     x = F.transform(features, lambda v: v.cast("double") + F.lit(0.0))
     taken = vectors.select(F.col(key).alias("row"), x.alias("x")).where(F.col("row").isNotNull() & F.col("x").isNotNull() & (F.size("x") == length) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-    taken = taken.withColumn("h", F.xxhash64("x"))
-    reps = written(taken.groupBy("h", "x").agg(F.min("row").alias("rep")), "permutation-contents")
-    members = written(taken.join(reps, ["h", "x"]).select("row", "rep"), "permutation-members")
+    reps, members = contents(taken, [], "permutation-contents")
+    members = written(members, "permutation-members")
     spark = vectors.sparkSession
     count = reps.count()
     if not count:
