@@ -190,3 +190,14 @@ def test_any_kernels(spark):
             want = mu[r["node"]] * r["t"] + sum(kernels[r["node"]][j].primitive(float(r["t"] - s)) for j, e in enumerate(events) for s in e if s < r["t"])
             assert r["compensator"] == pytest.approx(want, rel=1e-9)
     assert general.matched_bases([[1, 2.0], [4, 1.0]], [[8, 2.1], [1, 2.0]])[0][:2] == (0, 1)
+
+
+def test_further_realizations(spark):
+    a, b = from_lists(spark, F1, 2.0), from_lists(spark, [[[0.3], [0.4, 1.0]]], 2.0)
+    later = event_data(b.events.withColumn("r", F.lit(7)), 2, b.ends.withColumn("r", F.lit(7)))
+    both = hawkes.LeastSquares(a, [0.7, 1.3]).extended(later)
+    whole = hawkes.LeastSquares(a.with_realizations(later), [0.7, 1.3])
+    c = np.linspace(0.1, 0.5, 10)
+    assert both.loss(c) == pytest.approx(whole.loss(c), rel=1e-12)
+    with pytest.raises(ValueError):
+        hawkes.LeastSquares(a, [0.7, 1.3]).statistics + hawkes.LeastSquares(b, [0.7]).statistics

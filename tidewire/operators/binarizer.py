@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.operators.bands import _below
 from tidewire.operators.quantiles import quantiles
@@ -45,15 +46,16 @@ class Binarizer:
         self.kinds, self.bounds, self.categories = dict(kinds or {}), dict(bounds or {}), {}
 
     def fit(self, df: DataFrame) -> Binarizer:
-        parts = [F.count("*").alias("n")]
-        for i, c in enumerate(self.columns):
-            parts += [F.count_distinct(F.col(f"`{c}`").cast("string")).alias(f"d{i}"), F.count_if(F.col(f"`{c}`").isNotNull() & F.try_to_number(F.col(f"`{c}`").cast("string"), F.lit("S999999999999999.999999999999")).isNull() & F.expr(f"try_cast(`{c}` as double)").isNull()).alias(f"b{i}")]
-        seen = df.agg(*parts).first()
+        castable = {f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))}
+        words = [(F.count_if(F.col(f"`{c}`").isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()) if c in castable else F.lit(1)).alias(f"b{i}") for i, c in enumerate(self.columns)]
+        seen = df.agg(F.count("*").alias("n"), *words).first()
         limit = 15 if seen["n"] > 30 else seen["n"] / 2
         for i, c in enumerate(self.columns):
             if c not in self.kinds:
                 said = next((k for k in ("continuous", "discrete") if c.endswith(f":{k}")), None)
-                self.kinds[c] = said or ("continuous" if seen[f"d{i}"] > limit and not seen[f"b{i}"] else "discrete")
+                # Only whether there are more values than the limit matters.
+                many = not said and not seen[f"b{i}"] and df.select(f"`{c}`").where(F.col(f"`{c}`").isNotNull()).distinct().limit(int(limit) + 1).count() > limit
+                self.kinds[c] = said or ("continuous" if many else "discrete")
             if self.kinds[c] == "continuous":
                 if c not in self.bounds:
                     self.bounds[c] = boundaries(df.select(F.expr(f"try_cast(`{c}` as double)").alias("x")), "x", self.n_cuts, self.method)

@@ -213,6 +213,12 @@ class LeastSquaresStatistics:
     counts: np.ndarray
     total_time: float
 
+    def __add__(self, other: LeastSquaresStatistics) -> LeastSquaresStatistics:
+        """The statistics of both sets of realizations: all of them are sums."""
+        if self.rates != other.rates:
+            raise ValueError("the decays differ")
+        return LeastSquaresStatistics(self.rates, *(getattr(self, f) + getattr(other, f) for f in ("event_sums", "integrals", "products", "counts", "total_time")))
+
 
 def least_squares_statistics(data: EventData, rates: list[float]) -> LeastSquaresStatistics:
     """All that the least-squares loss needs, from one scan of the events.
@@ -282,6 +288,12 @@ class LeastSquares:
         p = ExpParameters(np.zeros(self.data.n_nodes), self._alpha(None), self.decays)
         return least_squares_statistics(self.data, p.rates)
 
+    def extended(self, data: EventData) -> LeastSquares:
+        """The model over further realizations too; only these are read."""
+        out = LeastSquares(self.data.with_realizations(data), self.decays)
+        out.__dict__["statistics"] = self.statistics + LeastSquares(data, self.decays).statistics
+        return out
+
     def loss_and_grad(self, coeffs) -> tuple[float, np.ndarray]:
         s, n = self.statistics, self.data.n_nodes
         c = np.asarray(coeffs, float)
