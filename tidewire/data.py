@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.session import table
+from tidewire.session import ship, table
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,7 @@ def event_data(events: DataFrame, n_nodes: int | None = None, end_time: float |
     end_time is one number for all, a table of r and end_time, or by default the largest time
     of each realization.
     """
+    ship(events.sparkSession)
     kept = events.where("r is not null and node is not null and t is not null")
     cols = [F.col("r").cast("bigint").alias("r"), F.col("node").cast("int").alias("node"), F.col("t").cast("double").alias("t")]
     cols.append(F.col("eid").cast("bigint").alias("eid") if "eid" in events.columns else F.monotonically_increasing_id().alias("eid"))
@@ -96,6 +97,7 @@ def event_data(events: DataFrame, n_nodes: int | None = None, end_time: float |
 
 def from_lists(spark: SparkSession, realizations: list[list[list[float]]], end_times: float | list[float] | None = None) -> EventData:
     """Small data given as lists: for each realization a list of times per node."""
+    ship(spark)
     rows = [(r, i, float(t)) for r, nodes in enumerate(realizations) for i, ts in enumerate(nodes) for t in ts]
     events = spark.createDataFrame([(*x, e) for e, x in enumerate(rows)], "r bigint, node int, t double, eid bigint")
     if end_times is None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.data import EventData
 from tidewire.functions.kernels import Exponential, ExponentialSum, Kernel, TimeFunction, Zero, norms, spectral_radius
 from tidewire.functions.special import beta_cdf
+from tidewire.session import ship
 
 _EVENTS = "r bigint, node int, t double, eid bigint"
 _BLOCK = 50_000
@@ -36,6 +37,7 @@ def _each(spark: SparkSession, n: int, simulate) -> DataFrame:
                 t, node = simulate(r)
                 yield from _events(r, t, node)
 
+    ship(spark)
     return spark.range(n).mapInArrow(made, _EVENTS)
 
 
@@ -316,6 +318,7 @@ def case_series(spark: SparkSession, n: int, n_intervals: int, n_lags: list[int]
             x = pa.array([[{"interval": i, "feature": f} for i, f in v] for v in cols[3]], kind)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), x], ["case_id", "censoring", "at", "x"])
 
+    ship(spark)
     cases = spark.range(n).mapInArrow(made, "case_id bigint, censoring bigint, at bigint, x array<struct<interval:bigint,feature:int>>")
     features = cases.select("case_id", F.explode("x").alias("e")).select("case_id", "e.interval", "e.feature", F.lit(1.0).alias("value"))
     return features, cases.select("case_id", F.col("at").alias("interval"), F.lit(1).alias("y")), cases.select("case_id", "censoring")

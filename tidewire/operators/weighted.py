@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import ship
+
 
 def task_sums(df: DataFrame, size: int, partial) -> np.ndarray:
     """Add up vectors of the given size, one per task, as partial makes them of its batches.
@@ -24,6 +26,7 @@ def task_sums(df: DataFrame, size: int, partial) -> np.ndarray:
                 total += partial(b)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["v"])
 
+    ship(df.sparkSession)
     rows = df.mapInArrow(summed, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
     out = np.zeros(size)
     for r in rows:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,31 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, once per Spark context.
+
+    The driver packs the sources and hands the archive to Spark, whose file server gives it to
+    every executor, also to later ones; nothing has to be installed there.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewire_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # else it is imported from such an archive already
+        folder = tempfile.TemporaryDirectory(prefix="tidewire-")
+        atexit.register(folder.cleanup)
+        archive = Path(folder.name, "tidewire.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+    sc._tidewire_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
@@ -51,6 +75,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor is lost. The table is removed when the driver's Python ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -67,4 +92,5 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

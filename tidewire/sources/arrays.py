@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.session import ship
 from tidewire.sources.svm_text import read_svmlight
 
 
@@ -33,6 +34,7 @@ def read_npz_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                             n = len(t)
                             yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array(np.full(n, node, np.int32)), pa.array(t)], ["path", "key", "node", "t"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(read, "path string, key string, node int, t double")
 
 
@@ -60,6 +62,7 @@ def read_tar_lines(spark: SparkSession, paths: str | list[str], pattern: str = "
         c = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], ["member", "line_no", "raw"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(read, "member string, line_no bigint, raw string")
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.session import ship
 from tidewire.sources.svm_grammar import REASONS, parse_record, parse_text
 
 _OUT = "label double, idx array<bigint>, val array<double>, comment string, n_pairs int, reason string, error_at int, error_text string"
@@ -41,6 +42,7 @@ def parse_lines(lines: DataFrame, files: DataFrame | None = None, key: str = "li
     lines stay, as each has its own key. A line of no known file has its indices checked for
     digits and order only. Other columns of either table are ignored. An empty table gives none.
     """
+    ship(lines.sparkSession)
     source = lines.select(F.col(key).alias("_key"), F.col(raw).alias("_raw"), F.col(file).alias("_file") if files is not None else F.lit(None).cast("string").alias("_file")).where("_raw is not null")
     if files is not None:
         # Only names and bounds are joined; Spark broadcasts them when their size is under its threshold.
@@ -71,6 +73,7 @@ def read_svm_text(spark: SparkSession, paths: str | list[str], first_index: int
     task can't hold are read by read_svmlight, line by line. Columns: path, line_no, and those
     of parse_lines. Records with errors are returned with their reason and place.
     """
+    ship(spark)
     raw = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

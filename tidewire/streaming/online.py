@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewire.operators.hawkes import ExpParameters
+from tidewire.session import ship
 
 _OUT = "r bigint, node int, t double, intensity double"
 _STATE = "t double, left array<double>, after array<double>"
@@ -47,6 +48,7 @@ def online_intensities(stream: DataFrame, p: ExpParameters) -> DataFrame:
         state.update((float(t), left.ravel().tolist(), after.ravel().tolist()))
         yield pd.DataFrame(out, columns=["r", "node", "t", "intensity"])
 
+    ship(stream.sparkSession)
     kept = stream.where("r is not null and node is not null and t is not null").select(F.col("r").cast("bigint").alias("r"), F.col("node").cast("int").alias("node"), F.col("t").cast("double").alias("t"))
     return kept.groupBy("r").applyInPandasWithState(updated, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
