@@ -161,7 +161,7 @@ class Regression:
         p = penalty_prox(self.penalty, self.C, model.p, self.ratio, self.blocks)
         s = solvers.Solver(self.solver, step=self.step, max_iter=self.max_iter, tol=self.tol, **self.options)
         self.coeffs = s.solve(model, p, np.zeros(model.size) if start is None else start)
-        self.history, self.classes = s.history, model.classes
+        self.history, self.classes, self.converged = s.history, model.classes, s.converged
         self.weights, self.bias = (self.coeffs[:-1], float(self.coeffs[-1])) if self.intercept else (self.coeffs, 0.0)
         return self
 

@@ -32,7 +32,8 @@ class Solver:
     the rows in batches; saga keeps one gradient per batch.
 
     bb takes Barzilai-Borwein steps (gd, agd, svrg). average is 'last', 'avg' or 'rand': what
-    an epoch of svrg ends with. It stops once the objective's relative change is below tol.
+    an epoch of svrg ends with. It stops once the objective's relative change is below tol, bfgs once
+    no slope is above it; converged tells whether it got there within max_iter.
     """
 
     def __init__(self, name: str = "agd", step: float | None = None, tol: float = 1e-5, max_iter: int = 100, bb: bool = False, batches: int = 4, average: str = "last", seed: int = 0):
@@ -41,6 +42,7 @@ class Solver:
         self.name, self.step, self.tol, self.max_iter = name, step, tol, max_iter
         self.bb, self.batches, self.average, self.seed = bb, batches, average, seed
         self.history: list[dict] = []
+        self.converged = False
 
     def solve(self, model, prox: Prox | None = None, start=None) -> np.ndarray:
         prox = prox or ProxZero()
@@ -51,7 +53,7 @@ class Solver:
                 step = 1 / model.lipschitz_max()
             except (AttributeError, ValueError, ZeroDivisionError):
                 step = 1e-2
-        self.history = []
+        self.history, self.converged = [], False
         if self.max_iter <= 0:
             return x
         if self.name == "bfgs":
@@ -63,7 +65,8 @@ class Solver:
     def _done(self, i: int, x, old, value: float, before: float, step: float) -> bool:
         rel = abs(value - before) / max(abs(before), 1.0)
         self.history.append({"n_iter": i, "obj": value, "rel_obj": rel, "rel_delta": relative_distance(x, old), "step": step})
-        return rel < self.tol
+        self.converged = rel < self.tol
+        return self.converged
 
     def _bfgs(self, model, prox, x):
         if not isinstance(prox, (ProxZero, ProxL2Squared)):
@@ -77,7 +80,9 @@ class Solver:
             return value + prox.value(c), grad
 
         x = minimise(f, x, max_iter=self.max_iter, tol=self.tol)
-        self.history.append({"n_iter": self.max_iter, "obj": f(x)[0], "rel_obj": 0.0, "rel_delta": 0.0, "step": 1.0})
+        value, grad = f(x)
+        self.converged = float(np.abs(grad).max(initial=0.0)) < self.tol
+        self.history.append({"n_iter": self.max_iter, "obj": value, "rel_obj": 0.0, "rel_delta": 0.0, "step": 1.0})
         return x
 
     def _gradient(self, model, prox, x, step):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import losses, prox
 from tidewire.operators import binarizer, glm, longitudinal, metrics, quantiles, solvers, survival
-from tidewire.plans.shaping import array_table, named_values, r6, rounded, s6, sql_values
+from tidewire.plans.shaping import array_table, finished, named_values, r6, rounded, s6, sql_values
 from tidewire.session import table
 
 QUERIES, SQL = {}, {}
@@ -406,10 +406,13 @@ SQL["distance_histories"] = "select o_orderkey, round(o_totalprice - min(o_total
 
 # ---- fits: iterative, so without SQL ----
 
+#: Far more rounds than the fits need until they stop by themselves.
+ROUNDS = 1000
+
 
 def _fit(name: str, label, **options):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        fit = glm.Regression(step=0.5, max_iter=8, **options).fit(_lines(spark, folder, label()))
+        fit = finished(glm.Regression(step=0.5, max_iter=ROUNDS, **options).fit(_lines(spark, folder, label())))
         return array_table(spark, fit.coeffs, "k")
 
     run.__doc__ = f"Coefficients of {name}."

@@ -25,6 +25,13 @@ def array_table(spark: SparkSession, a, names: str, value: str = "value", decima
     return spark.createDataFrame(rows, ", ".join([*(f"{n} int" for n in names.split()), f"{value} double"]))
 
 
+def finished(fit):
+    """The fit if it met its stop rule; an error if its limit ended it before."""
+    if not fit.converged:
+        raise ValueError(f"{type(fit).__name__} was not done within {fit.max_iter} rounds: {fit.history[-1:]}")
+    return fit
+
+
 def named_values(spark: SparkSession, decimals: int = DECIMALS, **values: float) -> DataFrame:
     """One row of named numbers."""
     kinds = {k: "bigint" if isinstance(v, int) else "double" for k, v in values.items()}
