@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 
 from tidewire.functions import losses
-from tidewire.operators import glm
-from tidewire.plans import model_queries
+from tidewire.operators import glm, learners
+from tidewire.operators.weighted import Sums, dense
+from tidewire.plans import hawkes_queries, model_queries
 from tidewire.plans.shaping import finished
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +46,48 @@ def test_unfinished_fit_is_an_error(spark):
     assert not fit.converged
     with pytest.raises(ValueError):
         finished(fit)
+
+
+@pytest.fixture
+def in_memory(monkeypatch):
+    """The sums of the Hawkes fits in numpy, so that long runs take no Spark jobs."""
+    kept = {}
+
+    def sums(features, mu, weights):
+        if id(features) not in kept:
+            b = features.select("node", "phi").toArrow().combine_chunks().to_batches()[0]
+            kept[id(features)] = features, b.column(0).to_numpy(zero_copy_only=False).astype(int), dense(b, "phi", weights.shape[1])
+        _, node, phi = kept[id(features)]
+        lam = mu[node] + (phi * weights[node]).sum(1)
+        ok = lam > 0
+        inv = np.where(ok, 1 / np.where(ok, lam, 1), 0)
+        return Sums(len(node), int((~ok).sum()), float(np.log(lam[ok]).sum()), np.bincount(node, inv, len(mu)), np.stack([inv[node == u] @ phi[node == u] for u in range(len(mu))]))
+
+    monkeypatch.setattr(learners, "weighted_sums", sums)
+
+
+Q = hawkes_queries
+BASIS = np.stack([np.exp(-0.5 * np.arange(Q.SIZE)), np.full(Q.SIZE, 0.3)])
+HAWKES = {
+    "fit_expectation": (lambda: learners.Expectation(Q.EDGES, max_iter=20000), "kernel", (Q.KERNEL,)),
+    "fit_sparse_low_rank": (lambda: learners.SparseLowRank(Q.BETA, max_iter=20000), "adjacency", (Q.ALPHA,)),
+    "fit_gaussians": (lambda: learners.GaussianMixture(12.0, 3, step_size=1e-3, max_iter=20000), "amplitudes", (np.full((Q.D, Q.D, 3), 0.05),)),
+    "fit_shared_basis": (lambda: learners.SharedBasis(Q.STEP * Q.SIZE, Q.SIZE, max_iter=20000), "basis", (np.full((Q.D, Q.D, 2), 0.1), BASIS)),
+}
+
+
+@pytest.mark.parametrize("name", HAWKES)
+def test_hawkes_fit_equals_a_long_run(spark, in_memory, name):
+    make, what, start = HAWKES[name]
+    long = make().fit(Q.test_events(spark, FOLDER), Q.MU, *start)
+    assert long.converged
+    r = Q.QUERIES[name](spark, FOLDER)
+    got = np.array([x["value"] for x in r.orderBy(*r.columns[:-1]).collect()])
+    np.testing.assert_allclose(got, getattr(long, what).ravel(), atol=2e-6)
+
+
+def test_unfinished_hawkes_fit_is_an_error(spark, in_memory):
+    data = Q.test_events(spark, FOLDER)
+    for fit in (learners.SparseLowRank(Q.BETA, max_iter=3, em_max_iter=3).fit(data, Q.MU, Q.ALPHA), learners.Expectation(Q.EDGES, max_iter=10).fit(data, Q.MU, Q.KERNEL)):
+        with pytest.raises(ValueError):
+            finished(fit)

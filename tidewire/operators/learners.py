@@ -19,10 +19,11 @@ from tidewire.session import written
 
 
 class _Fit:
-    """Coefficients with the history of their iterations."""
+    """Coefficients with the history of their iterations, and whether the stop rule was met."""
 
     def __init__(self) -> None:
         self.history: list[dict] = []
+        self.converged = False
 
     def history_table(self, spark) -> DataFrame:
         return spark.createDataFrame([{k: float(v) for k, v in h.items()} for h in self.history])
@@ -65,7 +66,8 @@ class Expectation(_Fit):
             far = max(relative_distance(new[0], self.mu), relative_distance(new[1], self.kernel))
             self.mu, self.kernel = new
             self.history.append({"n_iter": i + 1, "rel": far})
-            if far <= self.tol:
+            self.converged = far <= self.tol
+            if self.converged:
                 break
         return self
 
@@ -175,7 +177,8 @@ class SparseLowRank(_Fit):
             if (i + 1) % self.record_every == 0 or i + 1 == self.max_iter:
                 last = max(relative_distance(mu, old[0]), relative_distance(a, old[1]))
                 self.history.append({"n_iter": i + 1, "rel": last})
-                if last <= self.tol and i > 5:
+                self.converged = last <= self.tol and i > 5
+                if self.converged:
                     break
         self.mu, self.adjacency = mu, a
         return self
@@ -240,12 +243,11 @@ class GaussianMixture(_Fit):
             far = max(relative_distance(new[0], mu), relative_distance(new[1], a))
             mu, a = new
             if (i + 1) % self.record_every == 0 or i + 1 == self.max_iter:
-                if far < (last * 1e-2 if self.em_tol is None else self.em_tol):
-                    break
-                last = far
                 self.history.append({"n_iter": i + 1, "rel": far})
-                if far <= self.tol and i > 5:
+                self.converged = far < (last * 1e-2 if self.em_tol is None else self.em_tol) or (far <= self.tol and i > 5)
+                if self.converged:
                     break
+                last = far
         self.mu, self.amplitudes = mu, a
         return self
 
@@ -316,7 +318,8 @@ class SharedBasis(_Fit):
             far = max(relative_distance(x, y) for x, y in zip(new, state, strict=True))
             state = new
             self.history.append({"n_iter": i + 1, "rel": far})
-            if far <= self.tol:
+            self.converged = far <= self.tol
+            if self.converged:
                 break
         self.mu, self.amplitudes, self.basis = state
         return self

@@ -11,7 +11,7 @@ from tidewire.functions import kernels as K
 from tidewire.operators import bands, claw, cumulants, general, hawkes, learners, rkhs
 from tidewire.operators.scan import decayed_sums
 from tidewire.operators.weighted import weighted_sums
-from tidewire.plans.shaping import array_table, named_values, r6, rounded, s6, sql_values
+from tidewire.plans.shaping import array_table, finished, named_values, r6, rounded, s6, sql_values
 
 D = len(EVENT_TYPES)
 BETA, DECAYS = 0.5, [0.5, 2.0]
@@ -519,29 +519,32 @@ from b left join ev p on p.r = b.r and p.t < b.t left join al on al.i = b.node a
 
 # Fits: iterative, so without SQL.
 
+#: A bound that the fits are not meant to reach: they end by their stop rules.
+ROUNDS = 5000
+
 
 @query
 def fit_expectation(spark: SparkSession, folder: str) -> DataFrame:
-    em = learners.Expectation(EDGES, max_iter=10).fit(test_events(spark, folder), MU, KERNEL)
+    em = finished(learners.Expectation(EDGES, max_iter=ROUNDS).fit(test_events(spark, folder), MU, KERNEL))
     return array_table(spark, em.kernel, "u v m")
 
 
 @query
 def fit_sparse_low_rank(spark: SparkSession, folder: str) -> DataFrame:
-    fit = learners.SparseLowRank(BETA, max_iter=3, em_max_iter=3).fit(test_events(spark, folder), MU, ALPHA)
+    fit = finished(learners.SparseLowRank(BETA, max_iter=ROUNDS).fit(test_events(spark, folder), MU, ALPHA))
     return array_table(spark, fit.adjacency, "u v")
 
 
 @query
 def fit_gaussians(spark: SparkSession, folder: str) -> DataFrame:
-    fit = learners.GaussianMixture(12.0, 3, step_size=1e-3, max_iter=3, em_max_iter=3).fit(test_events(spark, folder), MU, np.full((D, D, 3), 0.05))
+    fit = finished(learners.GaussianMixture(12.0, 3, step_size=1e-3, max_iter=ROUNDS).fit(test_events(spark, folder), MU, np.full((D, D, 3), 0.05)))
     return array_table(spark, fit.amplitudes, "u v m")
 
 
 @query
 def fit_shared_basis(spark: SparkSession, folder: str) -> DataFrame:
     g = np.stack([np.exp(-0.5 * np.arange(SIZE)), np.full(SIZE, 0.3)])
-    fit = learners.SharedBasis(STEP * SIZE, SIZE, max_iter=5).fit(test_events(spark, folder), MU, np.full((D, D, 2), 0.1), g)
+    fit = finished(learners.SharedBasis(STEP * SIZE, SIZE, max_iter=ROUNDS).fit(test_events(spark, folder), MU, np.full((D, D, 2), 0.1), g))
     return array_table(spark, fit.basis, "d m")
 
 
