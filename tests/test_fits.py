@@ -5,8 +5,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tidewire.functions import losses
-from tidewire.operators import glm, learners
+from tidewire.functions import losses, prox
+from tidewire.operators import glm, learners, survival
 from tidewire.operators.weighted import Sums, dense
 from tidewire.plans import hawkes_queries, model_queries
 from tidewire.plans.shaping import finished
@@ -91,3 +91,33 @@ def test_unfinished_hawkes_fit_is_an_error(spark, in_memory):
     for fit in (learners.SparseLowRank(Q.BETA, max_iter=3, em_max_iter=3).fit(data, Q.MU, Q.ALPHA), learners.Expectation(Q.EDGES, max_iter=10).fit(data, Q.MU, Q.KERNEL)):
         with pytest.raises(ValueError):
             finished(fit)
+
+
+def test_robust_regression_equals_a_long_run(spark):
+    from tidewire.session import table
+
+    r = table(spark, FOLDER, "part").selectExpr("p_partkey", "p_size / 50 as x", "p_retailprice / 1000 as y").collect()
+    x, y = np.c_[[float(v["x"]) for v in r], np.ones(len(r))], np.array([float(v["y"]) for v in r])
+    n = len(y)
+    both = np.c_[x, np.eye(n)]
+    rows, l2 = prox.ProxSlope(1e-5, fdr=0.05), prox.ProxL2Squared(1e-3, (0, 1))
+    step = n / np.linalg.eigvalsh(both.T @ both)[-1]
+    c = z = np.zeros(n + 2)
+    t = 1.0
+    for _ in range(15000):
+        v = z - step * both.T @ (both @ z - y) / n
+        new = np.r_[l2(v[:2], step), rows(v[2:], step)]
+        if (z - new) @ (new - c) > 0:
+            t = 1.0
+        new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, c, t = new + (t - 1) / new_t * (new - c), new, new_t
+    got = {a["row_id"]: a["mu"] for a in model_queries.QUERIES["fit_robust_regression"](spark, FOLDER).collect()}
+    np.testing.assert_allclose([got.get(a["p_partkey"], 0.0) for a in r], c[2:], atol=1e-5)
+
+
+def test_case_series_is_a_minimum(spark, monkeypatch):
+    fits = []
+    monkeypatch.setattr(model_queries, "finished", lambda f: fits.append(f) or finished(f))
+    got = values(spark, "fit_case_series")
+    assert fits[0].history[0]["slope"] < 1e-6
+    np.testing.assert_allclose(got, fits[0].coeffs)

@@ -59,18 +59,20 @@ def symmetric_root(a: np.ndarray) -> np.ndarray:
     return vectors @ np.diag(np.sqrt(np.maximum(values, 0))) @ vectors.T
 
 
-def minimise(f, x0, lower: float | None = None, max_iter: int = 500, tol: float = 1e-10, memory: int = 10) -> np.ndarray:
+def minimise(f, x0, lower: float | None = None, max_iter: int = 500, tol: float = 1e-10, memory: int = 10, report: dict | None = None) -> np.ndarray:
     """Minimise f (value and gradient) by projected limited-memory BFGS with a line search.
 
     lower bounds all coefficients from below. Values that aren't finite are stepped back from.
+    report gets converged, false if max_iter ended it, and slope, the largest free slope left.
     """
     clip = (lambda x: np.maximum(x, lower)) if lower is not None else (lambda x: x)
     x = clip(np.asarray(x0, float))
     value, grad = f(x)
-    s_list, y_list = [], []
+    s_list, y_list, ended = [], [], False
     for _ in range(max_iter):
         free = np.ones(len(x), bool) if lower is None else ~((x <= lower) & (grad > 0))
         if np.abs(grad[free]).max(initial=0.0) < tol:
+            ended = True
             break
         q = np.where(free, grad, 0.0)
         alphas = []
@@ -98,6 +100,7 @@ def minimise(f, x0, lower: float | None = None, max_iter: int = 500, tol: float
             size /= 2
         if not moved:
             if not s_list:
+                ended = True
                 break
             s_list, y_list = [], []
             continue
@@ -107,5 +110,10 @@ def minimise(f, x0, lower: float | None = None, max_iter: int = 500, tol: float
         done = abs(value - new_value) <= 1e-15 * max(abs(value), abs(new_value), 1.0) and np.linalg.norm(s) < 1e-12
         x, value, grad = new, new_value, new_grad
         if done:
+            ended = True
             break
+    if report is not None:
+        free = np.ones(len(x), bool) if lower is None else ~((x <= lower) & (grad > 0))
+        slope = float(np.abs(grad[free]).max(initial=0.0))
+        report.update(converged=ended or slope < tol, slope=slope)
     return x

@@ -227,12 +227,35 @@ class RowIntercepts:
         return float(self.rows.agg(F.max(sq)).first()[0]) + 1 + self.intercept
 
 
-def robust_regression(rows: DataFrame, C_rows: float, penalty: str = "l2", C: float = 1e3, fdr: float = 0.05, intercept: bool = True, max_iter: int = 100, tol: float = 1e-7) -> tuple[np.ndarray, DataFrame]:
+def _least(gram: np.ndarray, target: np.ndarray, n: int, shrink: prox.Prox, start: np.ndarray) -> np.ndarray:
+    """The least of c'Gc / 2n - c'target / n plus a penalty, by accelerated steps on the driver."""
+    if isinstance(shrink, (prox.ProxZero, prox.ProxL2Squared)):
+        a, b = getattr(shrink, "range", None) or (0, 0)
+        ridge = np.zeros(len(target))
+        ridge[a:b] = getattr(shrink, "strength", 0.0)
+        return np.linalg.lstsq(gram / n + np.diag(ridge), target / n, rcond=None)[0]
+    step = n / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-300)
+    c = y = start
+    t = 1.0
+    for _ in range(100_000):
+        new = shrink(y - step * (gram @ y - target) / n, step)
+        new_t = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        y, t, moved = new + (t - 1) / new_t * (new - c), new_t, np.abs(new - c).max(initial=0.0)
+        c = new
+        if moved <= 1e-13 * max(np.abs(c).max(initial=0.0), 1e-300):
+            break
+    return c
+
+
+def robust_regression(rows: DataFrame, C_rows: float, penalty: str = "l2", C: float = 1e3, fdr: float = 0.05, intercept: bool = True, max_iter: int = 100, tol: float = 1e-7, strict: bool = False) -> tuple[np.ndarray, DataFrame]:
     """Linear regression that finds outliers: row intercepts under a sorted l1 penalty.
 
-    Returns coefficients and a table of row_id, mu. Accelerated proximal gradient; in the
-    sorted prox only rows above the least penalty weight can stay nonzero, which are few if
-    outliers are few; only their values reach the driver, and more than a million are refused.
+    Returns coefficients and a table of row_id, mu. Both blocks are solved exactly in turn: row
+    intercepts are the sorted prox of the residuals, coefficients come from X'X on the driver.
+    It stops once the coefficients change by no more than tol of the largest; strict makes it an
+    error if max_iter ends it before. In the sorted prox only rows above the least penalty
+    weight can stay nonzero, which are few if outliers are few; only they reach the driver, and
+    more than a million are refused.
     """
     model = RowIntercepts(rows, intercept)
     n, p = model.n, model.p
@@ -245,38 +268,32 @@ def robust_regression(rows: DataFrame, C_rows: float, penalty: str = "l2", C: fl
 
     sums = task_sums(model.rows.select("features", "label"), size * size + size, partial)
     gram, target = sums[: size * size].reshape(size, size), sums[size * size :]
-    step = n / (float(np.linalg.eigvalsh(gram)[-1]) + 1)
     shrink = penalty_prox(penalty, C, p)
-    c = y = np.linalg.lstsq(gram, target, rcond=None)[0]  # the problem is convex: any start will do
-    spark = rows.sparkSession
-    mu = look = spark.createDataFrame([], f"row_id {dict(rows.dtypes)['row_id']}, mu double")
-    t, before = 1.0, math.inf
-    weight = lambda k: normal_quantile(1 - fdr * (k + 1) / (2 * n)) if n else 0.0
-    for _ in range(max_iter):
-        grad, row_grad = model.grad(y, look)
-        new_c = shrink(y - step * grad, step)
-        moved = row_grad.join(look, "row_id", "left").select("row_id", (F.coalesce("mu", F.lit(0.0)) - step * F.col("grad")).alias("v"))
-        # The mean of the largest k entries exceeds the mean of their weights only if some entry exceeds the least weight.
-        least = step / C_rows * weight(n - 1)
-        some = moved.where(F.abs("v") > least).limit(1_000_001).collect()
+    c = np.linalg.lstsq(gram, target, rcond=None)[0]  # the problem is convex: any start will do
+    weight = lambda k: n / C_rows * normal_quantile(1 - fdr * (k + 1) / (2 * n))
+    # The mean of the largest k entries exceeds the mean of their weights only if some entry exceeds the least weight.
+    least = weight(n - 1) if n else 0.0
+    values: list[tuple] = []
+    for i in range(max_iter + 1):
+        v = model.rows.select("row_id", (F.col("label") - linear(c, intercept)).alias("v"), "features")
+        some = v.where(F.abs("v") > least).limit(1_000_001).collect()
         if len(some) > 1_000_000:
             raise ValueError("more than a million rows look like outliers; lower C_rows")
         some.sort(key=lambda r: -abs(r["v"]))
-        size = np.array([abs(r["v"]) for r in some])
-        flat = _falling(size - step / C_rows * np.array([weight(k) for k in range(len(some))]))
-        values = [(r["row_id"], float(v * np.sign(r["v"]))) for r, v in zip(some, flat, strict=True) if v > 0]
-        new_mu = spark.createDataFrame(values, mu.schema)
-        new_t = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        a = (t - 1) / new_t
-        y = new_c + a * (new_c - c)
-        look = new_mu.withColumnRenamed("mu", "x").join(mu.withColumnRenamed("mu", "z"), "row_id", "full").select("row_id", ((1 + a) * F.coalesce("x", F.lit(0.0)) - a * F.coalesce("z", F.lit(0.0))).alias("mu"))
-        look = spark.createDataFrame(look.collect(), mu.schema)
-        c, mu, t = new_c, new_mu, new_t
-        value = model.loss(c, mu) + shrink.value(c)
-        if abs(before - value) < tol * max(abs(value), 1):
+        flat = _falling(np.array([abs(r["v"]) for r in some]) - np.array([weight(k) for k in range(len(some))]))
+        mu = flat * np.sign([r["v"] for r in some])
+        values = [(r["row_id"], float(m)) for r, m in zip(some, mu, strict=True) if m != 0]
+        if i == max_iter:
+            if strict:
+                raise ValueError(f"the robust fit was not done within {max_iter} rounds")
+            break
+        x = np.array([r["features"] for r in some], float).reshape(len(some), p)
+        x = np.c_[x, np.ones(len(x))] if intercept else x
+        new = _least(gram, target - x.T @ mu, n, shrink, c)
+        far, c = np.abs(new - c).max(initial=0.0), new
+        if far <= tol * np.abs(c).max(initial=0.0):
             break
-        before = value
-    return c, mu
+    return c, rows.sparkSession.createDataFrame(values, f"row_id {dict(rows.dtypes)['row_id']}, mu double")
 
 
 def _falling(z: np.ndarray) -> np.ndarray:

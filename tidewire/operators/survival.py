@@ -194,7 +194,9 @@ class LaggedCaseSeries:
                     g[a : a + n] += math.sqrt(n) / self.c_group * part / norm if norm > 0 else 0.0
             return value, g
 
-        self.coeffs = minimise(penalised, self.start(self.series), max_iter=self.max_iter, tol=1e-7)
+        report: dict = {}
+        self.coeffs = minimise(penalised, self.start(self.series), max_iter=self.max_iter, tol=1e-7, report=report)
+        self.converged, self.history = report["converged"], [report]
         return self
 
     def score(self) -> float:

@@ -434,7 +434,7 @@ def fit_cox(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fit_case_series(spark: SparkSession, folder: str) -> DataFrame:
-    fit = survival.LaggedCaseSeries(LAGS, c_tv=100.0, c_group=100.0, max_iter=2).fit(*_series(spark, folder))
+    fit = finished(survival.LaggedCaseSeries(LAGS, c_tv=100.0, c_group=100.0).fit(*_series(spark, folder)))
     rows = [(k, float(c), *(float(x) if math.isfinite(x) else None for x in i)) for k, (c, i) in enumerate(zip(fit.coeffs, fit.intervals(), strict=True))]
     return spark.createDataFrame(rows, "k int, value double, low double, high double")
 
@@ -443,4 +443,4 @@ def fit_case_series(spark: SparkSession, folder: str) -> DataFrame:
 def fit_robust_regression(spark: SparkSession, folder: str) -> DataFrame:
     """Parts whose price is far from a line in their size."""
     p = table(spark, folder, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_retailprice") / 1000).alias("label"), F.array((F.col("p_size") / 50).cast("double")).alias("features"))
-    return glm.robust_regression(p, C_rows=100000.0, max_iter=8)[1]
+    return glm.robust_regression(p, C_rows=100000.0, max_iter=ROUNDS, strict=True)[1]
