@@ -198,6 +198,18 @@ class ProxTV(Prox):
         return self.strength * np.abs(np.diff(x)).sum()
 
 
+def falling(z) -> np.ndarray:
+    """The nearest falling sequence without negative values: pooled means of neighbours."""
+    blocks: list[list[float]] = []  # sum and length
+    for v in z:
+        blocks.append([v, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] <= blocks[-1][0] / blocks[-1][1]:
+            s, n = blocks.pop()
+            blocks[-1][0] += s
+            blocks[-1][1] += n
+    return np.concatenate([np.full(int(n), max(s / n, 0.0)) for s, n in blocks]) if blocks else np.asarray(z, float)
+
+
 class ProxSlope(Prox):
     """Sorted l1: weights fall with the rank by the quantiles of a false discovery rate."""
 
@@ -213,14 +225,7 @@ class ProxSlope(Prox):
         size = np.maximum(x, 0) if self.positive else np.abs(x)
         order = np.argsort(-size, kind="stable")
         z = size[order] - self.strength * step * self.weights(len(x))
-        blocks: list[list[float]] = []  # sum and length of falling blocks
-        for v in z:
-            blocks.append([v, 1])
-            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] <= blocks[-1][0] / blocks[-1][1]:
-                s, n = blocks.pop()
-                blocks[-1][0] += s
-                blocks[-1][1] += n
-        flat = np.concatenate([np.full(n, max(s / n, 0.0)) for s, n in blocks]) if blocks else z
+        flat = falling(z)
         out = np.empty_like(x)
         out[order] = flat
         return out * sign

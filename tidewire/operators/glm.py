@@ -280,7 +280,7 @@ def robust_regression(rows: DataFrame, C_rows: float, penalty: str = "l2", C: fl
         if len(some) > 1_000_000:
             raise ValueError("more than a million rows look like outliers; lower C_rows")
         some.sort(key=lambda r: -abs(r["v"]))
-        flat = _falling(np.array([abs(r["v"]) for r in some]) - np.array([weight(k) for k in range(len(some))]))
+        flat = prox.falling(np.array([abs(r["v"]) for r in some]) - np.array([weight(k) for k in range(len(some))]))
         mu = flat * np.sign([r["v"] for r in some])
         values = [(r["row_id"], float(m)) for r, m in zip(some, mu, strict=True) if m != 0]
         if i == max_iter:
@@ -294,15 +294,3 @@ def robust_regression(rows: DataFrame, C_rows: float, penalty: str = "l2", C: fl
         if far <= tol * np.abs(c).max(initial=0.0):
             break
     return c, rows.sparkSession.createDataFrame(values, f"row_id {dict(rows.dtypes)['row_id']}, mu double")
-
-
-def _falling(z: np.ndarray) -> np.ndarray:
-    """The nearest falling sequence without negative values."""
-    blocks: list[list[float]] = []
-    for v in z:
-        blocks.append([v, 1])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] <= blocks[-1][0] / blocks[-1][1]:
-            s, n = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += n
-    return np.concatenate([np.full(int(n), max(s / n, 0.0)) for s, n in blocks]) if blocks else z

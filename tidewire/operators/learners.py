@@ -277,23 +277,29 @@ class SharedBasis(_Fit):
         for r in data.events.join(data.ends, "r").groupBy("node").agg(*late).collect():
             self.early[r["node"]] = [r[f"m{m}"] for m in range(self.size)]
 
-    def _smoothed(self, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float]:
-        """One basis function from its linear and constant terms: Gauss-Seidel from 0."""
-        g, k = np.zeros(self.size), self.alpha / self.dt**2
-        a = 4 * k + c
-        worst = 0.0
-        for i in range(self.ode_max_iter):
-            worst = -1.0
-            for m in range(self.size):
-                near = (g[m - 1] if m else 0.0) + (g[m + 1] if m + 1 < self.size else 0.0)
-                b = -2 * k * near
-                new = (-b + math.sqrt(max(b * b + 4 * a[m] * d[m], 0.0))) / (2 * a[m])
-                if i:
-                    worst = max(worst, new if g[m] == 0 else (new - g[m]) / g[m])
-                g[m] = new
-            if i and worst < self.ode_tol:
+    def _smoothed(self, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """One basis function from its linear and constant terms.
+
+        It is where the convex function g'Ag/2 - sum(d log g) is least, A being tridiagonal with
+        4k + c on its diagonal and -2k beside it. Newton's method finds it; a step is cut short
+        so that g stays positive where d is. Where all of d is 0, so is g.
+        """
+        k = self.alpha / self.dt**2
+        if not (d > 0).any():
+            return np.zeros(self.size)
+        beside = np.eye(self.size, k=1) + np.eye(self.size, k=-1)
+        matrix = np.diag(4 * k + c) - 2 * k * beside
+        on = d > 0
+        g = np.sqrt(np.where(on, d, d.max()) / (4 * k + c))
+        for _ in range(self.ode_max_iter):
+            pull = np.where(on, d / g, 0.0)
+            slope = matrix @ g - pull
+            move = np.linalg.solve(matrix + np.diag(np.where(on, pull / g, 0.0)), -slope)
+            down = on & (move < 0)
+            g = g + min(1.0, 0.9 * (g[down] / -move[down]).min(initial=np.inf)) * move
+            if np.abs(move).max() <= self.ode_tol * 1e-3 * np.abs(g).max():
                 break
-        return g, worst
+        return g
 
     def iterate(self, mu, a, g):
         n = self.data.n_nodes
@@ -308,7 +314,7 @@ class SharedBasis(_Fit):
         r = self.exposure @ g.T
         new_a = np.sqrt(q / (r[None] + 2 * self.alpha))
         solved = [self._smoothed(c[i], d[i]) for i in range(len(g))]
-        return mu * s.inverse / self.data.total_time, new_a, np.stack([x[0] for x in solved])
+        return mu * s.inverse / self.data.total_time, new_a, np.stack(solved)
 
     def fit(self, data: EventData, mu, amplitudes, basis) -> SharedBasis:
         self.prepare(data)
