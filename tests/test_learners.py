@@ -74,16 +74,16 @@ def test_basis_golden(spark):
     a = np.full((2, 2, 2), 0.4)
     a[1] = 0.6
     fit = learners.SharedBasis(4, 40, C=0.05, max_iter=5, tol=0).fit(from_lists(spark, [R0, R1]), np.full(2, 0.2), a, g)
-    # The published numbers hold to four decimals; they stop short of the fixed point that is solved here.
-    np.testing.assert_allclose(fit.mu, [0.153022, 0.179124], atol=1.5e-4)
-    np.testing.assert_allclose(fit.amplitudes[1].ravel(), [1.48773e-5, 2.06898e-3, 6.60131e-6, 7.28398e-4], atol=1.5e-4)
-    np.testing.assert_allclose(fit.basis[0, :3], [0.0001699, 0.00031211, 0.00043944], atol=1.5e-4)
+    # Published to four decimals; their sweeps stop short of the fixed point, so order matters below that.
+    np.testing.assert_allclose(fit.mu, [0.153022, 0.179124], atol=5e-6)
+    np.testing.assert_allclose(fit.amplitudes[1].ravel(), [1.48773e-5, 2.06898e-3, 6.60131e-6, 7.28398e-4], rtol=5e-3)
+    np.testing.assert_allclose(fit.basis[0, :3], [0.0001699, 0.00031211, 0.00043944], rtol=3e-2)
 
 
 @pytest.mark.parametrize("some", [1.0, 0.5, 0.0])
 def test_basis_function_solves_its_equation(some):
     rng = np.random.default_rng(3)
-    fit = learners.SharedBasis(4, 40, C=0.05)
+    fit = learners.SharedBasis(4, 40, C=0.05, ode_max_iter=100_000, ode_tol=1e-14)
     c, d = rng.uniform(0, 50, 40), rng.uniform(0, 5, 40) * (rng.uniform(size=40) < some)
     g, k = fit._smoothed(c, d), fit.alpha / fit.dt**2
     near = np.r_[0, g[:-1]] + np.r_[g[1:], 0]
