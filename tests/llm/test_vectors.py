@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewire.llm import overlap
@@ -107,21 +108,43 @@ def vectors(rng):
 
 def test_exact_where_lists_are_full(spark):
     rows = vectors(np.random.default_rng(0))
-    same(near(spark, rows, 5, post=16, probe=16, ranked=10_000), brute_near(rows, 5))
-    same(near(spark, rows, 5, radius=0.3, ranked=10_000), brute_near(rows, 5, radius=0.3))
+    same(near(spark, rows, 5, post=16, probe=16, share=1.0), brute_near(rows, 5))
+    same(near(spark, rows, 5, radius=0.3, share=0.0, least=1), brute_near(rows, 5, radius=0.3))
     ask = {0, 50, 200, 229, 300}
     queries = spark.createDataFrame([(i,) for i in [*ask, 402, 999]], "row_id bigint")
-    same(near(spark, rows, 3, queries=queries, post=16, probe=16, ranked=10_000), brute_near(rows, 3, ask))
+    same(near(spark, rows, 3, queries=queries, post=16, probe=16, share=1.0), brute_near(rows, 3, ask))
     assert near(spark, rows[-5:], 5) == {} and near(spark, rows[:1], 5) == {}
 
 
-def test_blocks_and_recall(spark, monkeypatch):
-    monkeypatch.setattr(pi, "BLOCK", 16)
-    monkeypatch.setattr(pi, "_PAIRS", 64)
-    rows = vectors(np.random.default_rng(1))
-    got, want = near(spark, rows, 5, post=4, probe=8, ranked=40), brute_near(rows, 5)
-    hit = sum(len({got.get((i, r), (None,))[0] for r in range(1, 6)} & {want[i, r][0] for r in range(1, 6)}) for i in {k[0] for k in want})
-    assert hit / len(want) >= 0.9
+def recall(got, want, k):
+    hit = sum(len({got.get((i, r), (None,))[0] for r in range(1, k + 1)} & {want[i, r][0] for r in range(1, k + 1)}) for i in {i for i, _ in want})
+    return hit / len(want)
+
+
+@pytest.mark.parametrize(("long", "block"), [(2048, 16), (60, 2048)])
+def test_long_lists_blocks_and_recall(spark, monkeypatch, long, block):
+    # Few pivots at first: lists are long, are cut into blocks, or get levels of pivots of their own.
+    for name, v in (("BLOCK", block), ("PLACED", 32), ("_PAIRS", 64), ("FEWEST", 3 if long < 2048 else 16), ("LIST_SIZE", 20 if long < 2048 else 1000), ("LONG", long), ("MOST", 4 if long < 2048 else 16)):
+        monkeypatch.setattr(pi, name, v)
+    rng = np.random.default_rng(1)
+    rows = vectors(rng) + [(500 + i, [float(v) for v in 0.3 + rng.normal(size=4) * 0.01]) for i in range(80)]  # and a dense ball
+    assert recall(near(spark, rows, 5, post=2, probe=3, least=8), brute_near(rows, 5), 5) >= 0.9
+    same(near(spark, rows, 5, radius=0.05), brute_near(rows, 5, radius=0.05))
+
+
+def test_footrule_bound_keeps_what_is_near():
+    rng = np.random.default_rng(2)
+    p, x = rng.uniform(size=(40, 4)), rng.uniform(size=(300, 4))
+    y = x + rng.normal(size=x.shape) * 0.02
+    column = lambda a: pa.array(a.tolist(), pa.list_(pa.float64()))
+    args = (np.ones(300, np.int64), pa.array(np.arange(300)), column(x), p, 8, 1)
+    q, v = pi._place(*args, 0.05, False), pi._place(*args[:2], column(y), *args[3:], None, False)
+    places = lambda b: [{j: i for i, j in enumerate(r)} for r in b.column(2).to_pylist()]
+    shared = np.array([sum(8 - max(i, b.get(j, 8)) for j, i in a.items()) for a, b in zip(places(q), places(v))])
+    need = q.column(3).to_numpy()
+    assert (shared[np.sqrt(((x - y) ** 2).sum(1)) <= 0.05] >= need[np.sqrt(((x - y) ** 2).sum(1)) <= 0.05]).all()
+    others = np.array([sum(8 - max(i, b.get(j, 8)) for j, i in a.items()) for a, b in zip(places(q), places(v)[1:])])
+    assert (others < need[:-1]).mean() > 0.3  # and it does sort out others
 
 
 def test_contents_with_a_shared_hash(spark, monkeypatch):

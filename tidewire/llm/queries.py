@@ -113,7 +113,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest others of every covtype vector whose row_id is divisible by 50."""
     vectors = table(spark, folder, "covtype")
-    return permutation_index.neighbours(vectors, 10, queries=vectors.select("row_id").where("row_id % 50 = 0"))
+    near = permutation_index.neighbours(vectors, 10, queries=vectors.select("row_id").where("row_id % 50 = 0"))
+    return near.withColumn("dist", F.round("dist", 9))
 
 
 QUERIES |= {"p5_found": p5_found, "p5_neighbours": p5_neighbours}

@@ -89,6 +89,15 @@ d as (
   from v a join v b on a.row_id <> b.row_id),
 n as (select *, row_number() over (partition by a order by dist, b) as rn from d)
 select distinct least(a, b) as row_a, greatest(a, b) as row_b from n where rn <= 5 and dist <= 0.03""",
+    "p5_neighbours": """
+with v as (
+  select row_id, features as f from covtype
+  where len(features) = 54 and len(list_filter(features, lambda x: x is null or isnan(x))) = 0),
+d as (
+  select a.row_id, b.row_id as neighbour, list_distance(a.f, b.f) as dist
+  from v a join v b on a.row_id <> b.row_id where a.row_id % 50 = 0),
+n as (select *, row_number() over (partition by row_id order by dist, neighbour)::int as rank from d)
+select row_id, rank, neighbour, round(dist, 9) as dist from n where rank <= 10""",
     "p8_counts": _P8 + "select doc_id, n_words, n_letters, n_visible, n_symbols, n_lines, n_ended, n_common from s",
     "p4_sizes": """
 select plan_id, least(k, count(distinct row_id)) as n, least(k, count(distinct row_id)) as records
