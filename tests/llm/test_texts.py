@@ -41,8 +41,8 @@ def brute(d, i, n):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_phrases_match_brute_force(spark, monkeypatch, small):
-    if small:  # many blocks, several rounds, few candidates at a time
-        for name, v in (("BLOCK_WORDS", 50), ("ROUND_WORDS", 40), ("_STEP", 5)):
+    if small:  # many blocks, passages routed to them, few candidates at a time
+        for name, v in (("BLOCK_WORDS", 50), ("MOST_WINDOWS", 3), ("_STEP", 5)):
             monkeypatch.setattr(leak_index, name, v)
     rng = np.random.default_rng(0)
     vocab = ["the"] * 8 + [f"w{k}" for k in range(12)] + ["Éa", "straße", "x²y", "١٢"]

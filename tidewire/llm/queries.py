@@ -73,6 +73,11 @@ def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
     return leak_index.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), proximity=True)
 
 
+def p6_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents and test items match, exactly or by proximity."""
+    return p6_matches(spark, folder).select("doc_id", "item_id", "kind")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and test items that share a run of at least ten words."""
     return leak_index.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
@@ -88,7 +93,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.failed_checks(p8_stats(spark, folder))
 
 
-QUERIES |= {"p6_found": p6_found, "p6_matches": p6_matches, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES |= {"p6_found": p6_found, "p6_matches": p6_matches, "p6_kinds": p6_kinds, "p8_found": p8_found, "p8_stats": p8_stats}
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

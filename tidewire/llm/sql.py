@@ -73,6 +73,31 @@ g as (
   select id, side, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as gram
   from w where len(w) >= 10)
 select distinct d.id as doc_id, i.id as item_id from g d join g i on d.gram = i.gram where d.side = 0 and i.side = 1""",
+    "p6_kinds": """
+with t as (
+  select doc_id as id, 0 as side, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') as w from documents
+  union all
+  select item_id, 1, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') from eval_items),
+dw as (select id as doc_id, unnest(w) as word, unnest(range(0, len(w))) as p from t where side = 0),
+df as (select word, count(distinct doc_id) as df from dw group by word),
+iw as (select id as item_id, unnest(w) as word, unnest(range(0, len(w))) as p, len(w) as n from t where side = 1 and len(w) >= 10),
+win as (
+  select b.item_id, b.p as a0, i.p, i.word, coalesce(df, 0) as df
+  from iw b join iw i on b.item_id = i.item_id and i.p between b.p and b.p + 9 left join df on df.word = i.word where b.p <= b.n - 10),
+rk as (
+  select *, row_number() over (partition by item_id, a0 order by df, p) as r, min(df) over (partition by item_id, a0) as low from win),
+pas as (
+  select distinct item_id, max(word) filter (r = 1) as w1, max(word) filter (r = 2) as w2, max(word) filter (r = 3) as w3, max(word) filter (r = 4) as w4
+  from rk where low > 0 group by item_id, a0),
+h1 as (select pas.*, d.doc_id, d.p from pas join dw d on d.word = w1),
+h2 as (select * from h1 where exists (select 1 from dw d where d.doc_id = h1.doc_id and d.word = w2 and d.p between h1.p - 20 and h1.p + 20)),
+h3 as (select * from h2 where exists (select 1 from dw d where d.doc_id = h2.doc_id and d.word = w3 and d.p between h2.p - 20 and h2.p + 20)),
+h4 as (select distinct doc_id, item_id from h3 where exists (select 1 from dw d where d.doc_id = h3.doc_id and d.word = w4 and d.p between h3.p - 20 and h3.p + 20)),
+g as (
+  select id, side, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as gram from t where len(w) >= 10),
+ph as (select distinct d.id as doc_id, i.id as item_id from g d join g i on d.gram = i.gram where d.side = 0 and i.side = 1)
+select doc_id, item_id, 'phrase' as kind from ph
+union all select doc_id, item_id, 'proximity' from h4 anti join ph using (doc_id, item_id)""",
     "p8_found": _P8
     + """
 select doc_id, 'few_words' as failed from s where n_words < 25
