@@ -14,7 +14,12 @@ def entries(spark, rows):
 
 
 def counts(spark, rows, heavy=2):
-    got = tc.term_counts(entries(spark, rows), "dataset", "row_id", "col", "value", ["a", "b"], most_heavy=heavy).collect()
+    e = entries(spark, rows)
+    plain, none = tc.term_counts(e, "dataset", "row_id", "col", "value", ["a", "b"], most_heavy=heavy)
+    by_place, totals = tc.term_counts(e, "dataset", "row_id", "col", "value", ["a", "b"], e.select("dataset", "row_id"), most_heavy=heavy)
+    got = plain.collect()
+    assert sorted(by_place.collect()) == sorted(got) and none == {}
+    assert totals == {d: len({r for x, r, *_ in rows if x == d and r is not None}) for d in "ab" if any(x == d and r is not None for x, r, *_ in rows)}
     assert len(got) == len({(r["dataset"], r["col"]) for r in got})
     return {(r["dataset"], r["col"]): (r["n_entries"], r["n_records"]) for r in got}
 
@@ -43,9 +48,24 @@ def test_skew(spark, heavy):
     assert counts(spark, rows, heavy) == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_records_in_several_places(spark, monkeypatch, bits):
+    # Runs of whole records, some sent again near or far, some cut by batches; the small filter is full.
+    monkeypatch.setattr(tc, "FILTER_BITS", bits)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    rng = np.random.default_rng(4)
+    runs = [[("a", r, int(c), 1.0) for c in rng.integers(0, 60, rng.integers(1, 9))] for r in range(200)]
+    runs += [runs[i] for i in rng.integers(0, 200, 40)] + [runs[5][:1] * 3, [("a", 7, c, 1.0) for c in range(100)]]
+    rows = [e for i in rng.permutation(len(runs)) for e in runs[i]]
+    try:
+        assert counts(spark, rows, 16) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_marks(spark):
     rows = [("a", r, c, 1.0) for r in range(10) for c in ([0] if r < 2 else []) + ([1] if r < 3 else []) + ([2] if r < 4 else [])]
-    c = tc.term_counts(entries(spark, rows), "dataset", "row_id", "col", "value", ["a"])
+    c, _ = tc.term_counts(entries(spark, rows), "dataset", "row_id", "col", "value", ["a"])
     totals = spark.createDataFrame([("a", 10)], "dataset string, n_all bigint")
     assert {r["col"]: r["mark"] for r in tc.marked(c, totals, "dataset").collect()} == {0: "rare", 1: None, 2: "common"}
 

@@ -75,7 +75,7 @@ class _Terms(dict):
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
-        if self.bits is not None and not all(self.bits[p >> 3] >> (p & 7) & 1 for p in (h % FILTER_BITS, (h >> 32) % FILTER_BITS)):
+        if self.bits is not None and not all(self.bits[p >> 3] >> (p & 7) & 1 for p in (h % (8 * len(self.bits)), (h >> 32) % (8 * len(self.bits)))):
             h = 0
         if len(self) >= _KNOWN:
             self.clear()

@@ -19,9 +19,9 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     kdd = table(spark, folder, "kdd2010")
     rows = kdd.select(F.lit("kdd2010").alias("dataset"), "row_id", F.explode(F.arrays_zip("cols", "vals")).alias("x"))
     entries = url.unionByName(rows.select("dataset", "row_id", F.col("x.cols").alias("col"), F.col("x.vals").alias("value")))
-    counts = terms.term_counts(entries, "dataset", "row_id", "col", "value", ["url_svmlight", "kdd2010"])
     records = url.select("dataset", "row_id").unionByName(kdd.select(F.lit("kdd2010").alias("dataset"), "row_id"))
-    totals = records.groupBy("dataset").agg(F.count_distinct("row_id").alias("n_all"))
+    counts, totals = terms.term_counts(entries, "dataset", "row_id", "col", "value", ["url_svmlight", "kdd2010"], records)
+    totals = spark.createDataFrame(sorted(totals.items()), "dataset string, n_all bigint")
     return terms.marked(counts.withColumn("col", F.col("col").cast("int")), totals, "dataset")
 
 
