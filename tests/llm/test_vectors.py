@@ -60,6 +60,28 @@ def test_no_pair_is_lost(spark, spec, real, hot):
     assert found(spark, rows, spec, hot=hot)[0] == want
 
 
+def test_seeds_are_bounded_and_shared():
+    # Every entry of the first record lies on an edge of some grid.
+    edges = [0.0, 0.096 / 4, 0.096 / 2, 3 * 0.096 / 4]
+    spec = overlap.Spec(22, 1, 0.0015, 12, 10)
+    worst = np.array([0.048 - edges[i % 4] for i in range(22)])
+    rng = np.random.default_rng(0)
+    near = worst + rng.uniform(-0.0014, 0.0014, (200, 22))
+    near[np.arange(200), rng.integers(0, 22, 200)] += 1  # one entry differs
+    one, all_ = overlap._seed_rows(worst[None], spec, False), overlap._seed_rows(near, spec, True)
+    assert len(one[0]) <= 32 * 22 and np.bincount(all_[0]).max() <= 4 * 22
+    mine = set(one[3])
+    assert all(mine & set(all_[3][all_[0] == i]) for i in range(200))
+
+
+def test_walk_counts_from_any_beginning():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2, (50, 40)) * 1.0
+    b = np.where(rng.uniform(size=a.shape) < 0.07, 1 - a, a)
+    n, got = (a != b).sum(1), overlap._walk(a, b, rng.integers(0, 40, 50), BITS, step=7)
+    assert (np.where(n <= 3, n, 4) == np.minimum(got, 4)).all()
+
+
 def test_classes_copies_and_odd_rows(spark):
     x = [0.0] * 12
     y = [0.0] * 11 + [None]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,10 @@ class Spec:
     gram and window bound the guaranteed clean run: records that are nearly same share, read
     as circles, a run of at least (length - max_diff) / max_diff equal entries, and a run of
     gram + window - 1 entries always holds a fingerprint that both records select.
+
+    With a tolerance, entries become symbols on grids shifted against one another. An entry
+    within tol of an edge is open, having two symbols that near ones may share, and is open on
+    one grid at most; so on a record's best grid at most length / grids entries are open.
     """
 
     length: int
@@ -44,6 +48,7 @@ class Spec:
     tol: float
     gram: int
     window: int
+    grids: int = 4
 
     def __post_init__(self) -> None:
         run = self.length if self.max_diff == 0 else -(-(self.length - self.max_diff) // self.max_diff)
@@ -53,7 +58,7 @@ class Spec:
     @property
     def order(self) -> np.ndarray:
         """Entries in strides, so that each run mixes all parts of a record."""
-        step = next(s for s in range(max(1, round(self.length * 0.382)), self.length + 2) if gcd(s, self.length) == 1)
+        step = next(s for s in range(max(1, round(self.length * 0.382)), self.length + 2) if math.gcd(s, self.length) == 1)
         return np.arange(self.length) * step % self.length
 
     @property
@@ -62,12 +67,13 @@ class Spec:
         run = -(-(self.length - self.gram - self.max_diff) // (self.max_diff + 1))
         return max(1, (run + 1) // 2), max(1, run - max(1, (run + 1) // 2) + 1)
 
-    def symbols(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """Symbol of every entry, and with a tolerance the other symbol it may share."""
+    def symbols(self, x: np.ndarray, grid: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol of every entry on a grid, and the other one it may share if it is open."""
         if self.tol == 0:
-            return _mixed((x + 0.0).view(np.int64)), None
+            own = _mixed((x + 0.0).view(np.int64))
+            return own, own
         cell, near = 64 * self.tol, self.tol * 1.001
-        low, own, high = (np.floor((x + d) / cell + 0.5) for d in (-near, 0.0, near))
+        low, own, high = (np.floor((x + d) / cell + grid / self.grids + 0.5) for d in (-near, 0.0, near))
         other = np.where(low != own, low, high)
         with np.errstate(invalid="ignore"):
             return _mixed(own.astype(np.int64).view(np.uint64)), _mixed(other.astype(np.int64).view(np.uint64))
@@ -106,72 +112,116 @@ def _selected(h: np.ndarray, good: np.ndarray, window: int, circle: bool) -> np.
     return out & good
 
 
-def _variants(sym: np.ndarray, other: np.ndarray, bad: np.ndarray, gram: int, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, position, hash) of every gram under every mix of own and other symbols."""
-    good = _good(bad, gram, count)
-    r, p = np.nonzero(good)
-    yield r, p, _grams(sym, gram, count)[r, p]
-    two = (sym != other) & ~bad
-    run = np.concatenate([np.zeros((len(two), 1), np.int32), np.cumsum(two, axis=1, dtype=np.int32)], axis=1)
-    r, p = np.nonzero(good & (run[:, gram : gram + count] > run[:, :count]))
-    for i, j in zip(r, p, strict=True):
-        open_ = np.flatnonzero(two[i, j : j + gram])
-        rows = np.repeat(sym[i : i + 1, j : j + gram], (1 << len(open_)) - 1, axis=0)
-        for bit, at in enumerate(open_):
-            rows[(np.arange(1, 1 << len(open_)) >> bit) & 1 == 1, at] = other[i, j + at]
-        h = _grams(rows, gram, 1)[:, 0]
-        yield np.full(len(h), i), np.full(len(h), j), h
+def _winnowed(sym: np.ndarray, bad: np.ndarray, spec: Spec, inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and hash of the selected grams of records read as circles, or as lines."""
+    gram, window = spec.inner if inner else (spec.gram, spec.window)
+    count = sym.shape[1] - gram + 1
+    good, h = _good(bad, gram, count), _grams(sym, gram, count)
+    r, p = np.nonzero(_selected(h, good, window, not inner))
+    return r, p, h[r, p]
 
 
-def _seed_rows(x: np.ndarray, spec: Spec, index_side: bool, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and key of the seeds of every record.
+def _seed_rows(x: np.ndarray, spec: Spec, posts: bool, start: np.ndarray | None = None, grid: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Row, position, grid and key of the seeds of every record.
 
-    With start, the seeds of the line that is left when the gram at start is taken out.
+    The side that posts selects seeds on every grid. The other side takes each record's grid of
+    fewest open entries and selects seeds under every mix of their symbols, 2 ** (length /
+    grids) mixes at the most; one of these is how the other record reads there. With start and
+    grid, the seeds on that grid of the line that is left when the gram at start is taken out.
     """
-    bad = np.isnan(x)
-    sym, other = spec.symbols(x)
     n, m = x.shape
     if start is None:
-        cols, gram, window = np.tile(np.r_[spec.order, spec.order[: spec.gram - 1]], (n, 1)), spec.gram, spec.window
-        count = m
+        cols = np.tile(np.r_[spec.order, spec.order[: spec.gram - 1]], (n, 1))
     else:
-        gram, window = spec.inner
         cols = spec.order[(start[:, None] + spec.gram + np.arange(m - spec.gram)) % m]
-        count = m - spec.gram - gram + 1
-    at = np.arange(n)[:, None]
-    sym, bad = sym[at, cols], bad[at, cols]
-    if other is None or index_side:
-        good = _good(bad, gram, count)
-        h = _grams(sym, gram, count)
-        r, p = np.nonzero(_selected(h, good, window, start is None))
-        h = h[r, p]
-    else:
-        parts = list(_variants(sym, other[at, cols], bad, gram, count))
-        r, p, h = (np.concatenate(c) for c in zip(*parts, strict=True))
-    return r, p, _mixed(h + p.astype(np.uint64) * _BASE).view(np.int64)
-
-
-def _seeds(reps: DataFrame, spec: Spec, index_side: bool) -> DataFrame:
+    at, bad = np.arange(n)[:, None], np.isnan(x)
+    grids = range(spec.grids if spec.tol else 1)
+    read = [spec.symbols(x, g) for g in grids]
+    if grid is None and not posts:
+        grid = np.argmin([((a != b) & ~bad).sum(axis=1) for a, b in read], axis=0)
+    out = []
+    for g in grids:
+        rows = np.arange(n) if grid is None else np.flatnonzero(grid == g)
+        if not len(rows):
+            continue
+        sym, other = (s[at[rows], cols[rows]] for s in read[g])
+        gone = bad[at[rows], cols[rows]]
+        if posts:
+            r, p, h = _winnowed(sym, gone, spec, start is not None)
+            out.append((rows[r], p, np.full(len(r), g), h))
+            continue
+        # The entries of a record in the places where the circle repeats them are open together.
+        open_ = ((read[g][0] != read[g][1]) & ~bad)[rows]
+        if start is not None:
+            open_ &= (cols[rows][:, :, None] == np.arange(m)).any(axis=1)
+        many = open_.sum(axis=1)
+        for o in np.unique(many):
+            own = np.flatnonzero(many == o)
+            rank = np.cumsum(open_[own], axis=1) - 1
+            for a in range(0, len(own), block := max(1, _BLOCK >> int(o))):
+                k = own[a : a + block]
+                bits = np.arange(1 << int(o))
+                swap = open_[k][None] & (bits[:, None, None] >> np.maximum(rank[a : a + block], 0)[None] & 1 == 1)  # mix, record, entry
+                c = np.broadcast_to(cols[rows[k]], (len(bits), *cols[rows[k]].shape))
+                mixed = np.where(np.take_along_axis(swap, c, axis=2), other[k], sym[k]).reshape(-1, cols.shape[1])
+                r, p, h = _winnowed(mixed, np.tile(gone[k], (len(bits), 1)), spec, start is not None)
+                found = np.stack([(r % len(k)).astype(np.uint64), p.astype(np.uint64), h])
+                r, p, h = np.unique(found, axis=1) if o else found
+                out.append((rows[k[r.astype(np.int64)]], p.astype(np.int64), np.full(len(r), g), h))
+    r, p, g, h = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+    return r, p, g, _mixed(h.astype(np.uint64) + (p * 64 + g).astype(np.uint64) * _BASE).view(np.int64)
+
+
+_SEED = "rep bigint, cls tinyint, pos int, grid tinyint, seed bigint"
+_SEED_NAMES = ["rep", "cls", "pos", "grid", "seed"]
+
+
+def _seeds(reps: DataFrame, spec: Spec, posts: bool) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, _BLOCK):
                 part = b.slice(i, _BLOCK)
-                r, p, key = _seed_rows(_matrix(part.column(2), spec.length), spec, index_side)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(p, pa.int32()), pa.array(key)], ["rep", "cls", "pos", "seed"])
+                r, p, g, key = _seed_rows(_matrix(part.column(2), spec.length), spec, posts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(p, pa.int32()), pa.array(g.astype(np.int8)), pa.array(key)], _SEED_NAMES)
 
-    return reps.select("rep", "cls", "x").mapInArrow(made, "rep bigint, cls tinyint, pos int, seed bigint")
+    return reps.select("rep", "cls", "x").mapInArrow(made, _SEED)
 
 
-def _inner_seeds(hot: DataFrame, spec: Spec, index_side: bool) -> DataFrame:
+def _inner_seeds(hot: DataFrame, spec: Spec, posts: bool) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, _BLOCK):
                 part = b.slice(i, _BLOCK)
-                r, p, key = _seed_rows(_matrix(part.column(4), spec.length), spec, index_side, part.column(2).to_numpy().astype(np.int64))
-                outer = part.column(3).to_numpy()[r]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), part.column(2).take(pa.array(r)), pa.array(_mixed(key.view(np.uint64) ^ _mixed(outer.view(np.uint64))).view(np.int64))], ["rep", "cls", "pos", "seed"])
+                pos, grid, outer = (part.column(c).to_numpy().astype(np.int64) for c in (2, 3, 4))
+                r, _, _, key = _seed_rows(_matrix(part.column(5), spec.length), spec, posts, pos, grid)
+                both = _mixed(key.view(np.uint64) ^ _mixed(outer[r].view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(r)) for c in range(4)), pa.array(both)], _SEED_NAMES)
+
+    return hot.select("rep", "cls", "pos", "grid", "seed", "x").mapInArrow(made, _SEED)
+
+
+def _crowds(a: DataFrame, b: DataFrame, hot: int) -> DataFrame:
+    """The seeds shared by more than hot pairs, with their records on both sides, as a table."""
+    marked = [d.select("cls", "seed", F.lit(s).cast("long").alias("na"), F.lit(1 - s).cast("long").alias("nb")) for d, s in ((a, 1), (b, 0))]
+    both = marked[0].unionByName(marked[1]).groupBy("cls", "seed").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    return written(both.where(F.col("na") * F.col("nb") > hot), "overlap-hot")
+
 
-    return hot.select("rep", "cls", "pos", "seed", "x").mapInArrow(made, "rep bigint, cls tinyint, pos int, seed bigint")
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """rep_a, rep_b, pos of the pairs that share a seed."""
+    return a.select("cls", "seed", "pos", F.col("rep").alias("rep_a")).join(b.select("cls", "seed", F.col("rep").alias("rep_b")), ["cls", "seed"]).select("rep_a", "rep_b", "pos")
+
+
+def _met_in_blocks(a: DataFrame, b: DataFrame, crowd: DataFrame, side: int) -> DataFrame:
+    """_met for seeds of crowds: blocks of side records meet, so none gathers in one task."""
+    cut = crowd.select("cls", "seed", F.ceil(F.col("na") / side).alias("ka"), F.ceil(F.col("nb") / side).alias("kb"))
+
+    def spread(d: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return d.join(cut, ["cls", "seed"]).withColumn(i, F.pmod(F.xxhash64("rep"), own)).withColumn(j, F.explode(F.sequence(zero, F.col(other) - 1)))
+
+    left, right = spread(a, "ka", "kb", "i", "j"), spread(b, "kb", "ka", "j", "i")
+    return left.select("cls", "seed", "i", "j", "pos", F.col("rep").alias("rep_a")).join(right.select("cls", "seed", "i", "j", F.col("rep").alias("rep_b")), ["cls", "seed", "i", "j"]).select("rep_a", "rep_b", "pos")
 
 
 def overlaps(records: DataFrame, spec: Spec, key: str = "row_id", split: str = "split", features: str = "features", cls: str | None = None, train: str = "trn", held: tuple[str, ...] = ("val", "tst"), hot: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
@@ -185,12 +235,13 @@ def overlaps(records: DataFrame, spec: Spec, key: str = "row_id", split: str = "
     another split or, where cls is given, a null class take no part; pairs are within a class.
     Extra columns are ignored; an empty table gives none.
 
-    Seeds are winnowed minima of rolling hashes over the entries in a mixing order; they are
-    joined on hash, place and class. As records are aligned entry by entry, the seeds of a pair
-    lie on one diagonal and chain into one; extending the chain both ways around the record
-    counts what differs. A seed shared by more than hot pairs isn't joined: both sides select
-    seeds once more among the remaining entries and join on both seeds together, which loses
-    no pair, as the rest of nearly same records again holds a clean run.
+    Seeds are winnowed minima of rolling hashes over the entries in a mixing order, on both
+    sides; they are joined on hash, place and class. As records are aligned entry by entry, the
+    seeds of a pair lie on one diagonal and chain into one; the pair is walked from the chain
+    on around the record and given up once too much differs. A seed shared by more than hot
+    pairs isn't joined: both sides select seeds once more among the remaining entries and join
+    on both seeds together, which loses no pair, as the rest of nearly same records again holds
+    a clean run. Seeds still shared by so many then meet in blocks.
     """
     side = F.when(F.col(split) == train, 0).when(F.col(split).isin(*held), 1)
     taken = records.select(F.col(key).alias("row"), side.cast("tinyint").alias("held"), (F.col(cls) if cls else F.lit(0)).cast("tinyint").alias("cls"), F.transform(features, lambda v: v.cast("double") + F.lit(0.0)).alias("x"))
@@ -198,24 +249,34 @@ def overlaps(records: DataFrame, spec: Spec, key: str = "row_id", split: str = "
     reps, members = contents(taken, ["held", "cls"], "overlap-reps")
     members = members.select(F.col("row").alias(key), "held", "rep")
     index, probe = reps.where("held = 0"), reps.where("held = 1")
-    a, b = written(_seeds(index, spec, True), "overlap-index"), written(_seeds(probe, spec, False), "overlap-probe")
-
-    marked = [d.select("cls", "seed", F.lit(s).cast("long").alias("na"), F.lit(1 - s).cast("long").alias("nb")) for d, s in ((a, 1), (b, 0))]
-    crowd = marked[0].unionByName(marked[1]).groupBy("cls", "seed").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb")).where(F.col("na") * F.col("nb") > hot).select("cls", "seed")
-    crowd = written(crowd, "overlap-hot")
-    joined = _met(a, b, crowd, "left_anti")
-    if not crowd.isEmpty():
-        inner = [_inner_seeds(d.join(crowd, ["cls", "seed"], "left_semi").join(r.select("rep", "x"), "rep"), spec, s) for d, r, s in ((a, index, True), (b, probe, False))]
-        joined = joined.unionByName(_met(*inner, None, ""))
+    # The held-out side, the smaller one, posts on all grids.
+    a, b = written(_seeds(index, spec, False), "overlap-index"), written(_seeds(probe, spec, True), "overlap-probe")
+    crowd = _crowds(a, b, hot)
+    if crowd.isEmpty():
+        joined = _met(a, b)
+    else:
+        joined = _met(*(d.join(crowd, ["cls", "seed"], "left_anti") for d in (a, b)))
+        inner = [written(_inner_seeds(d.join(crowd, ["cls", "seed"], "left_semi").join(r.select("rep", "x"), "rep"), spec, s), "overlap-inner") for d, r, s in ((a, index, False), (b, probe, True))]
+        again = _crowds(*inner, hot)
+        clear = inner if again.isEmpty() else [d.join(again, ["cls", "seed"], "left_anti") for d in inner]
+        joined = joined.unionByName(_met(*clear))
+        if not again.isEmpty():
+            joined = joined.unionByName(_met_in_blocks(*inner, again, max(1, math.isqrt(hot))))
     chains = joined.groupBy("rep_a", "rep_b").agg(F.count_distinct("pos").alias("n_seeds"), F.min("pos").alias("first_seed"), F.max("pos").alias("last_seed"))
     both = chains.join(index.select(F.col("rep").alias("rep_a"), F.col("x").alias("xa")), "rep_a").join(probe.select(F.col("rep").alias("rep_b"), F.col("x").alias("xb")), "rep_b")
     return _extended(both, spec), members
 
 
-def _met(a: DataFrame, b: DataFrame, crowd: DataFrame | None, how: str) -> DataFrame:
-    if crowd is not None:
-        a = a.join(crowd, ["cls", "seed"], how)
-    return a.select("cls", "seed", "pos", F.col("rep").alias("rep_a")).join(b.select("cls", "seed", F.col("rep").alias("rep_b")), ["cls", "seed"]).select("rep_a", "rep_b", "pos")
+def _walk(xa: np.ndarray, xb: np.ndarray, begin: np.ndarray, spec: Spec, step: int = 32) -> np.ndarray:
+    """How many entries differ, walking from the beginning of the chain around the record; a
+    pair is left, with a count above max_diff, once the count is above it."""
+    m, differ, going = spec.length, np.zeros(len(xa), np.int64), np.arange(len(xa))
+    for i in range(0, m, step):
+        cols = spec.order[(begin[going, None] + np.arange(i, min(m, i + step))) % m]
+        a, b = (x[going[:, None], cols] for x in (xa, xb))
+        differ[going] += (~(np.abs(a - b) <= spec.tol)).sum(axis=1)
+        going = going[differ[going] <= spec.max_diff]
+    return differ
 
 
 def _extended(both: DataFrame, spec: Spec) -> DataFrame:
@@ -223,8 +284,7 @@ def _extended(both: DataFrame, spec: Spec) -> DataFrame:
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xa, xb = _matrix(b.column(5), spec.length), _matrix(b.column(6), spec.length)
-            differ = (~(np.abs(xa - xb) <= spec.tol)).sum(axis=1)
+            differ = _walk(_matrix(b.column(5), spec.length), _matrix(b.column(6), spec.length), b.column(3).to_numpy().astype(np.int64), spec)
             keep = pa.array(np.flatnonzero(differ <= spec.max_diff))
             n = differ[differ <= spec.max_diff]
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(keep) for i in range(5)), pa.array(n.astype(np.int32)), pa.array(1 - n / spec.length)], ["rep_a", "rep_b", "n_seeds", "first_seed", "last_seed", "n_diff", "coverage"])

@@ -60,12 +60,22 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return _united(overlap.report(r, p, m).select(F.lit(name).alias("dataset"), "*") for name, r, p, m in _splits(spark, folder))
 
 
+def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps between distinct contents, each named by its least row: the form for large tables."""
+    return _united(p.select(F.lit(name).alias("dataset"), "rep_a", "rep_b", "n_diff") for name, _, p, _ in _splits(spark, folder))
+
+
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The content of every record that takes part."""
+    return _united(m.select(F.lit(name).alias("dataset"), "row_id", "held", "rep") for name, _, _, m in _splits(spark, folder))
+
+
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A uniform sample of kdd2010 for every row of sample_plan."""
     return reservoir.sample(table(spark, folder, "kdd2010"), table(spark, folder, "sample_plan"), "row_id", ["piece_no", "arrived_at"], ["cols", "vals", "label"], ["split", "learner_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_report": p2_report, "p4_sample": p4_sample}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p2_found": p2_found, "p2_report": p2_report, "p2_pairs": p2_pairs, "p2_members": p2_members, "p4_sample": p4_sample}
 
 
 def p6_matches(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,6 +33,16 @@ with near as (
 p as (select * from near where n_diff <= most)
 """
 
+_P2_CONTENT = """,
+c as (
+  select 'adult' as dataset, row_id, (split <> 'trn')::int as held, features, true as cls from adult
+  where split in ('trn', 'val', 'tst') and len(features) = 123
+  union all
+  select 'ijcnn1', row_id, (split <> 'trn')::int, features, label > 0 from ijcnn1
+  where split in ('trn', 'val', 'tst') and len(features) = 22 and label is not null),
+m as (select dataset, row_id, held, min(row_id) over (partition by dataset, held, cls, features) as rep from c)
+"""
+
 _P8 = """
 with d as (
   select doc_id, text, lower(left(lang, 2)) as lang2,
@@ -62,6 +72,11 @@ c as (select dataset, other, max(1 - n_diff / n) as coverage from p group by dat
 select r.dataset, split, source, count(*) as n_records, count(coverage) as n_overlapping,
   count(*) filter (coverage = 1) as n_exact, avg(coverage) as mean_coverage
 from r left join c on r.dataset = c.dataset and r.row_id = c.other group by r.dataset, split, source""",
+    "p2_members": _P2 + _P2_CONTENT + "select dataset, row_id, held, rep from m",
+    "p2_pairs": _P2
+    + _P2_CONTENT
+    + """select distinct p.dataset, a.rep as rep_a, b.rep as rep_b, n_diff from p
+join m a on a.dataset = p.dataset and a.row_id = trn join m b on b.dataset = p.dataset and b.row_id = other""",
     "p1_counts": _P1 + "select dataset, col, n_entries, n_records, mark from m",
     "p1_found": _P1 + "select dataset, col, mark from m where mark is not null",
     "p6_found": """
