@@ -81,7 +81,9 @@ def plain_stats(text, common):
 TEXTS = ["", " \t\r\n\n", "The cat.\r\nIs it? no\n\n * of the list\n| a | b ||\n12 ½ x²!", "ΟΔΟΣ the ÉTÉ İs of", "{{x}}" * 50, "the of " * 3000, "a\x0bb c. .", "of", "𐐀the of𐐀 the", None, "The end.\n" * 40, "* the\n" * 30, "| the | of | 3 |\n" * 30]
 
 
-def test_statistics_match_plain_ones(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_statistics_match_plain_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "MOST_COMMON", most)  # few: common words are joined
     monkeypatch.setattr(quality, "_CHARS", 200)
     words = spark.createDataFrame([("en", "the"), ("en", "of"), ("en", "οδος"), ("en", "été"), ("fr", "cat"), (None, "x"), ("en", None)], "lang string, word string")
     got = {r["doc_id"]: r.asDict() for r in quality.text_quality(docs(spark, TEXTS, "EN-x"), words).collect()}
@@ -113,11 +115,56 @@ def test_viterbi_and_fit_against_enumeration():
         best = max(np.ndindex(*(4,) * n), key=lambda s, n=n, at=at: sum(np.log(m.start[s[0]]) if k == 0 else np.log(m.move[s[k - 1], s[k]]) for k in range(n)) + sum(b[codes[at + k], s[k]] for k in range(n))) if n else ()
         assert tuple(got[at : at + n]) == best
         at += n
-    fit = quality.LineModel().fit([codes[:3].astype(np.int64), codes[4:].astype(np.int64)], rounds=3)
+    # Expected counts against the sum over all state sequences, and their sums over documents.
+    got = m.expected(lengths, codes)
+    want = np.zeros_like(got)
+    values, at = np.unravel_index(codes, quality._SIZES), 0
+    offset = np.r_[0, np.cumsum(4 * np.array(quality._SIZES))]
+    for n in lengths:
+        paths = list(np.ndindex(*(4,) * n)) if n else []
+        p = np.array([np.exp(sum(np.log(m.start[s[0]]) if k == 0 else np.log(m.move[s[k - 1], s[k]]) for k in range(n)) + sum(b[codes[at + k], s[k]] for k in range(n))) for s in paths])
+        for s, w in zip(paths, p / p.sum() if n else []):
+            want[offset[-1] + 16 + s[0]] += w
+            for k in range(n):
+                for f, size in enumerate(quality._SIZES):
+                    want[offset[f] + s[k] * size + values[f][at + k]] += w
+                if k:
+                    want[offset[-1] + 4 * s[k - 1] + s[k]] += w
+        at += n
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    fit = m.updated(got)
     np.testing.assert_allclose([e.sum(axis=1) for e in fit.emit], 1)
     np.testing.assert_allclose(fit.move.sum(axis=1), 1)
 
 
+def planted(rng, kind):
+    """Lines of one kind, in no wording that the model was made from."""
+    words = ["river", "stone", "maple", "under", "seven", "bright", "harbour", "quiet", "window", "north", "copper", "of", "the", "and", "in", "was", "a", "to"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    if kind == "prose":
+        return (say(rng.integers(12, 40)).capitalize() + ". " + say(rng.integers(6, 20)).capitalize() + rng.choice([".", "!", "?", "."])).strip()
+    if kind == "list":
+        return rng.choice(["* ", "# ", "- ", "** "]) + say(rng.integers(1, 7))
+    if kind == "table":
+        return rng.choice(["| ", "|- ", "! "]) + " || ".join(rng.choice([say(1), str(rng.integers(1, 9999))]) for _ in range(rng.integers(2, 7)))
+    return "".join(rng.choice(list("%$&@~^<>=+/_;:{}[]()0123456789qxzj "), rng.integers(5, 60)))
+
+
+def test_planted_kinds_are_found(spark):
+    rng = np.random.default_rng(8)
+    kinds_ = list(rng.choice(quality.STATES, 400))
+    texts = []
+    for k in kinds_:
+        other = [planted(rng, rng.choice(quality.STATES)) for _ in range(rng.integers(0, 3))]  # some lines of other kinds
+        texts.append("\n".join([*(planted(rng, k) for _ in range(rng.integers(6, 15))), *other]))
+    words = spark.createDataFrame([("en", w) for w in ("of", "the", "and", "in", "was", "a", "to")], "lang string, word string")
+    got = {r["doc_id"]: r["kind"] for r in quality.text_quality(docs(spark, texts), words).collect()}
+    for k in quality.STATES:
+        found, true = {i for i in got if got[i] == k}, {i for i, x in enumerate(kinds_) if x == k}
+        assert len(found & true) / max(len(found), 1) >= 0.9, k
+        assert len(found & true) / len(true) >= 0.9, k
+
+
 def sizes(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
 
