@@ -91,6 +91,13 @@ def test_merge_is_hypergeometric():
     np.testing.assert_allclose(drawn.mean(axis=0), [2, 6, 12], atol=0.12)
     variance = 20 * 0.1 * 0.9 * 80 / 99
     assert drawn[:, 0].var() == pytest.approx(variance, rel=0.1)
+    # The same draw at small and at huge populations, against numpy's and the normal limit.
+    ours = np.array([reservoir.hypergeometric(np.random.default_rng(s), 40, 60, 30) for s in range(4000)])
+    theirs = np.random.default_rng(0).hypergeometric(40, 60, 30, 4000)
+    assert abs(ours.mean() - 12) < 0.15 and ours.var() == pytest.approx(theirs.var(), rel=0.1)
+    huge = np.array([reservoir.hypergeometric(np.random.default_rng(s), 10**12, 3 * 10**12, 40_000) for s in range(300)])
+    assert huge.mean() == pytest.approx(10_000, abs=20) and huge.std() == pytest.approx(86.6, rel=0.15)
+    assert reservoir.hypergeometric(np.random.default_rng(0), 5, 0, 3) == 3 and reservoir.hypergeometric(np.random.default_rng(0), 0, 5, 3) == 0
     large = reservoir.allocate([2_000_000_000, 1_000_000_000], 3000, [1])
     assert sum(large) == 3000 and abs(large[0] - 2000) < 150
     assert reservoir.allocate([3, 4], 100, [0]) == [3, 4]
