@@ -173,10 +173,14 @@ def targets(spark, rows):
     return spark.createDataFrame(rows, "plan_id int, source string, weight double, max_repeats int")
 
 
-def test_shares_caps_and_missing_sources(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_shares_caps_and_missing_sources(spark, monkeypatch, small):
+    if small:  # cuts searched on several levels, tables joined instead of sent
+        monkeypatch.setattr(mixing, "CUT_ROWS", 1)
+        monkeypatch.setattr(mixing, "MOST_SENT", 0)
     rng = np.random.default_rng(0)
     rows = [(i, "big" if i < 2000 else "mid" if i < 2600 else "small", int(v)) for i, v in enumerate(np.exp(rng.normal(5, 1, 2800)).astype(int) + 1)]
-    plan = targets(spark, [(1, "BIG", 5.0, 1), (1, "mid ", 3.0, 2), (1, "small", 1.0, 4), (1, "none", 2.0, 1), (2, "small", 1.0, None), (2, "mid", 1.0, None), (3, "none", 1.0, None), (4, "big", 1.0, 0), (4, "small", None, 1), (5, "big", 0.5, 1), (5, "Big", 0.5, 3), (1, None, 1.0, 1)])
+    plan = targets(spark, [(1, "BIG", 5.0, 1), (1, "mid ", 3.0, 2), (1, "small", 1.0, 4), (1, "none", 2.0, 1), (2, "small", 1.0, None), (2, "mid", 1.0, None), (3, "none", 1.0, None), (4, "big", 1.0, 0), (4, "small", None, 1), (5, "big", 0.5, 1), (5, "Big", 0.5, 3), (1, None, 1.0, 1), (None, "big", 1.0, 1)])
     copies, goals = mixing.mix(sizes(spark, rows), plan)
     got = {(r["plan_id"], r["source"]): r for r in mixing.shares(copies, goals).collect()}
     for key, share in {(1, "big"): 5 / 9, (1, "mid"): 3 / 9, (1, "small"): 1 / 9, (2, "small"): 0.5, (2, "mid"): 0.5}.items():

@@ -6,16 +6,19 @@ from collections import defaultdict
 from math import floor
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.tokens import VOCABULARY, token_counts
 from tidewire.session import written
 
-#: Plan rows are collected; more than these are refused.
-MOST_TARGETS = 2000
-#: Bins in which the order statistics of a group are searched.
-_BINS = 4096
+#: Rows of plan, source and size class, and of plan, source and band, that are sent to all tasks; more are joined.
+MOST_SENT = 200_000
+#: Order statistics of a group are searched in 2 ** 12 bins, then in as many within the bin that
+#: holds the cut, until none of these has more documents than this.
+CUT_ROWS = 100_000
+_BITS, _LEVELS = 12, 4
 #: Size classes per doubling of the tokens; a band is one doubling.
 _CLASSES = 4
 
@@ -35,15 +38,13 @@ def _class(tokens: str) -> Column:
     return F.floor(F.log2(tokens) * _CLASSES).cast("int")
 
 
-def targets_of(targets: DataFrame, plan: str = "plan_id") -> list[dict]:
-    """Plan rows with sources in one spelling; rows of the same source join: weights add up,
-    the least max_repeats holds. Weights null or below 0 count as 0."""
+def targets_of(targets: DataFrame, plan: str = "plan_id") -> DataFrame:
+    """plan, source, weight, cap with sources in one spelling; rows of the same source join:
+    weights add up, the least max_repeats holds. Weights null or below 0 count as 0; rows of a
+    null plan or source are left out."""
     weight = F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
-    joined = targets.where(F.col("source").isNotNull()).groupBy(F.col(plan).alias("plan"), spelling("source").alias("source")).agg(weight.alias("weight"), F.min("max_repeats").alias("cap"))
-    rows = [r.asDict() for r in joined.orderBy("plan", "source").limit(MOST_TARGETS + 1).collect()]
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} plan rows")
-    return rows
+    kept = targets.where(F.col("source").isNotNull() & F.col(plan).isNotNull())
+    return kept.groupBy(F.col(plan).alias("plan"), spelling("source").alias("source")).agg(weight.alias("weight"), F.min("max_repeats").alias("cap"))
 
 
 def copies_by_class(classes: dict[int, tuple[int, int]], need: float, cap: float, power: float) -> dict[int, float]:
@@ -118,31 +119,49 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, size_pow
     from seed, plan and document, so a task that runs again ranks alike. Ranks are cut by bin
     counts and an order within the one bin that holds the cut, so no group is sorted whole.
     """
-    spark = sizes.sparkSession
-    rows = targets_of(targets, plan)
-    wanted = spark.createDataFrame(sorted({(r["source"],) for r in rows}), "source string")
-    classed = sizes.withColumn("class", _class("n_tokens"))
-    sums = classed.join(wanted, "source").groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()  # named sources x size classes
-    stats: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
-    for r in sums:
-        stats[r["source"]][r["class"]] = (r["n"], r["t"])
-    parts, goals = allocation(rows, stats, total, size_power, seed)
     kind = dict(targets.dtypes)[plan]
-    given = spark.createDataFrame(parts, f"`{plan}` {kind}, source string, class int, band int, whole bigint, chance double, n bigint")
-    goal = spark.createDataFrame(goals, f"`{plan}` {kind}, source string, target_share double, goal_tokens double, max_repeats bigint")
-
-    # given is bounded by plan rows times size classes; it goes out whole so that no source gathers in a task.
-    offered = classed.select(F.col(doc), "source", "n_tokens", "class").join(F.broadcast(given), ["source", "class"])
+    wanted = targets_of(targets, plan)
+    classed = sizes.withColumn("class", _class("n_tokens"))
+    stats = classed.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+
+    def allotted(rows: pd.DataFrame) -> pd.DataFrame:  # a plan's rows, one per source and class
+        own, found = [], defaultdict(dict)
+        for source, some in rows.groupby("source"):
+            cap = some["cap"].iloc[0]
+            own.append({"plan": some["plan"].iloc[0], "source": source, "weight": some["weight"].iloc[0], "cap": None if pd.isna(cap) else int(cap)})
+            found[source] = {int(c): (int(n), int(t)) for c, n, t in zip(some["class"], some["n"], some["t"], strict=True) if not pd.isna(c)}
+        parts, goals = allocation(own, found, total, size_power, seed)
+        a = pd.DataFrame(parts, columns=["plan", "source", "class", "band", "whole", "chance", "n"])
+        return pd.concat([a, pd.DataFrame(goals, columns=["plan", "source", "target_share", "goal_tokens", "max_repeats"])]).astype({c: "Int64" for c in ("class", "band", "whole", "n", "max_repeats")})[_ALLOTTED]
+
+    joined = wanted.join(stats, "source", "left").select("plan", "source", "weight", "cap", "class", "n", "t")
+    schema = f"plan {kind}, source string, class int, band int, whole bigint, chance double, n bigint, target_share double, goal_tokens double, max_repeats bigint"
+    both = written(joined.groupBy("plan").applyInPandas(allotted, schema).withColumnRenamed("plan", plan), "mix-allotted")
+    given = both.where("class is not null").select(plan, "source", "class", "band", "whole", "chance", "n")
+    goal = both.where("class is null").select(plan, "source", "target_share", "goal_tokens", "max_repeats")
+
+    offered = classed.select(F.col(doc), "source", "n_tokens", "class").join(_sent(given), ["source", "class"])
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(plan), F.col(doc)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("chance")) / F.col("chance")
     q = F.when((F.col("chance") > 0) & (F.col("n") > 0), odds)
-    ranked = offered.withColumn("u", u).withColumn("q", q).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * _BINS).cast("int"))
+    place = F.least(F.floor(F.col("q") / (1 + F.col("q")) * F.lit(float(1 << _BITS * _LEVELS))), F.lit((1 << _BITS * _LEVELS) - 1))
+    ranked = offered.withColumn("u", u).withColumn("q", q).withColumn("place", place)
     group = [plan, "source", "band"]
-    bins = ranked.where("q is not null").groupBy(*group, "bin").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = bins.withColumn("before", before).where("before < n and before + m >= n").select(*group, F.col("bin").alias("cut"), (F.col("n") - F.col("before")).alias("rest"))
-    # One row per group of plan, source and band: as bounded as given.
-    known = ranked.join(F.broadcast(cut), group, "left")
+    cut, level = None, 0
+    while level < _LEVELS:
+        level += 1
+        rest = _BITS * (_LEVELS - level)
+        some = ranked.where("q is not null").withColumn("bin", F.shiftright("place", rest))
+        if cut is not None:  # within the bin of the level before
+            old = cut.select(*group, F.col("cut").alias("_cut"), F.col("rest").alias("_rest"))
+            some = some.join(_sent(old), group).where(F.shiftright("bin", _BITS) == F.col("_cut")).withColumn("n", F.col("_rest"))
+        bins = some.groupBy(*group, "bin").agg(F.count("*").alias("m"), F.first("n").alias("n"))  # at most 2 ** _BITS in a group
+        before = F.coalesce(F.sum("m").over(Window.partitionBy(*group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cut = bins.withColumn("before", before).where("before < n and before + m >= n").select(*group, F.col("bin").alias("cut"), (F.col("n") - F.col("before")).alias("rest"), "m")
+        cut = written(cut, "mix-cut")
+        if (cut.agg(F.max("m")).first()[0] or 0) <= CUT_ROWS:
+            break
+    known = ranked.join(_sent(cut.drop("m")), group, "left").withColumn("bin", F.shiftright("place", _BITS * (_LEVELS - level)))
     # A missing cut means that all of the group's documents are wanted, or none has a chance.
     clear = known.where("cut is null or bin is null or bin <> cut").withColumn("extra", F.when((F.col("q").isNotNull()) & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), 1).otherwise(0))
     order = F.row_number().over(Window.partitionBy(*group).orderBy("q", doc))
@@ -151,6 +170,15 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, size_pow
     return copies.select(plan, doc, "source", "n_tokens", "copies"), goal
 
 
+_ALLOTTED = ["plan", "source", "class", "band", "whole", "chance", "n", "target_share", "goal_tokens", "max_repeats"]
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks if it is small, so that no source gathers in a task;
+    otherwise joined by shuffles, where Spark splits skewed sources."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
 def shares(copies: DataFrame, goals: DataFrame, plan: str = "plan_id") -> DataFrame:
     """Per plan and source: target and actual share, tokens, documents, copies, most copies of
     one document. Sources that give nothing have zeros."""

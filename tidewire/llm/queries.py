@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import leak_index, mixing, overlap, permutation_index, quality, reservoir
@@ -146,3 +146,23 @@ def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES |= {"p4_sizes": p4_sizes, "p8_counts": p8_counts}
+
+
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of each plan's sampled records are records that the plan matches."""
+    plans = table(spark, folder, "sample_plan").select("plan_id", F.col("split").alias("s"), F.col("learner_id").alias("l"))
+    drawn = p4_sample(spark, folder).select("plan_id", "row_id", "cols", "vals", F.col("label").alias("y"))
+    there = table(spark, folder, "kdd2010").select("row_id", "split", "learner_id", "cols", "vals", "label")
+    same = there.join(drawn.join(plans, "plan_id"), ["row_id", "cols", "vals"]).where("label <=> y and (s is null or s = split) and (l is null or l = learner_id)")
+    return same.groupBy("plan_id").agg(F.count_distinct("row_id").alias("n"))
+
+
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every plan's source has its share within two percentage points and keeps its cap."""
+    s = p7_shares(spark, folder)
+    given = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy("plan_id"))
+    close = F.abs(F.col("actual_share") - F.when(F.col("tokens") > 0, F.col("target_share") / given).otherwise(0.0)) <= 0.02
+    return s.select("plan_id", "source", F.round("target_share", 6).alias("target_share"), (F.col("tokens") > 0).alias("used"), close.alias("close"), F.coalesce(F.col("most_copies") <= F.col("max_repeats"), F.lit(True)).alias("capped"))
+
+
+QUERIES |= {"p4_members": p4_members, "p7_kept": p7_kept}

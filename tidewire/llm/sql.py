@@ -143,4 +143,16 @@ select row_id, rank, neighbour, round(dist, 9) as dist from n where rank <= 10""
 select plan_id, least(k, count(distinct row_id)) as n, least(k, count(distinct row_id)) as records
 from sample_plan p join kdd2010 r on (p.split is null or p.split = r.split) and (p.learner_id is null or p.learner_id = r.learner_id)
 where row_id is not null and k > 0 group by plan_id, k""",
+    "p4_members": """
+select plan_id, least(k, count(distinct row_id)) as n
+from sample_plan p join kdd2010 r on (p.split is null or p.split = r.split) and (p.learner_id is null or p.learner_id = r.learner_id)
+where row_id is not null and k > 0 group by plan_id, k""",
+    "p7_kept": """
+with s as (
+  select plan_id, regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') as source, sum(greatest(coalesce(weight, 0), 0)) as weight, min(max_repeats) as cap
+  from mix_targets where source is not null group by 1, 2),
+d as (select distinct regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') as source from documents where text <> '')
+select plan_id, source, round(weight / sum(weight) over (partition by plan_id), 6) as target_share,
+  weight > 0 and coalesce(cap, 1) > 0 and source in (from d) as used, true as close, true as capped
+from s""",
 }
