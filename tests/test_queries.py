@@ -3,10 +3,10 @@ from pathlib import Path
 import oracle
 import pytest
 
-from tidewire.plans import hawkes_queries, model_queries, record_queries
+from tidewire.plans import hawkes_queries, model_queries, operator_queries, record_queries
 
 FOLDER = "/root/testdata/sf0.001"
-PARTS = [hawkes_queries, model_queries, record_queries]
+PARTS = [hawkes_queries, model_queries, operator_queries, record_queries]
 QUERIES = {n: q for p in PARTS for n, q in p.QUERIES.items()}
 SQL = {n: s for p in PARTS for n, s in p.SQL.items()}
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +70,34 @@ def skewness_terms(data: EventData, h: float, symmetric: DataFrame) -> DataFrame
     p = bands.band_pairs(targets, data.events, h, h).where(F.abs("lag") < h)
     near = bands.dense_features(data, p, [F.lit(1.0)]).where(F.col("t") >= h)
     per = base.groupBy("r").agg(F.first("end_time").alias("end_time"), F.array_sort(F.collect_list(F.struct("node", "rate", "last"))).alias("b"))  # one entry per node
-    joined = near.join(per, "r")
-    nodes = F.sequence(F.lit(0), F.lit(n - 1))
-    wide = joined.select("r", "t", "end_time", "phi", "b", F.col("node").alias("k"), F.explode(nodes).alias("i"))
-    # k = j gives (i, j, j); k = i with the first two equal to j gives (j, j, i).
-    first = wide.withColumn("j", F.col("k")).withColumn("kind", F.lit(0))
-    second = wide.select("r", "t", "end_time", "phi", "b", "k", F.col("i").alias("i"), F.col("i").alias("j"), F.lit(1).alias("kind"))
-    rows = first.select("r", "t", "end_time", "phi", "b", "k", "i", "j", "kind").unionByName(second)
-    off = lambda x: F.col("phi")[F.col(x)] - F.col("b")[F.col(x)]["rate"] * (2 * h)
-    goes_on = (F.col("b")[F.col("i")]["last"] >= F.col("t") + h) & (F.col("b")[F.col("j")]["last"] >= F.col("t") + h)
-    sums = rows.where(goes_on).groupBy("r", "i", "j", "k", "kind").agg(F.sum(off("i") * off("j")).alias("s"), F.count("*").alias("n"), F.first("end_time").alias("end_time"))
+    rows = near.join(per, "r").select("r", "node", "t", "phi", F.col("b.rate").alias("rate"), F.col("b.last").alias("last"), "end_time")
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i = np.arange(n)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, k, t, end = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 6))
+            phi, rate, last = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(r), n) for c in (3, 4, 5))
+            off = phi - rate * (2 * h)
+            on = last >= t[:, None] + h  # false where a node has no event
+            own, mine = off[np.arange(len(r)), k], on[np.arange(len(r)), k]
+            # Kind 0: (i, k, k); kind 1: (i, i, k).
+            both = [np.where(on & mine[:, None], off * own[:, None], 0.0), np.where(on, off * off, 0.0)], [on & mine[:, None], on]
+            key, group = np.unique(np.stack([r, k]), axis=1, return_inverse=True)
+            group = group.ravel()
+            sums, counts = (np.zeros((key.shape[1], 2, n)) for _ in range(2))
+            for kind in (0, 1):
+                np.add.at(sums[:, kind], group, both[0][kind])
+                np.add.at(counts[:, kind], group, both[1][kind])
+            ends = np.zeros(key.shape[1])
+            ends[group] = end
+            g, kind, node = (x.ravel() for x in np.indices(sums.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(key[0][g]), pa.array(i[node].astype(np.int32)), pa.array(np.where(kind == 0, key[1][g], node).astype(np.int32)), pa.array(key[1][g].astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(sums.ravel()), pa.array(counts.ravel()), pa.array(ends[g])], ["r", "i", "j", "k", "kind", "s", "n", "end_time"])
+
+    # A batch adds up its events per realization and node before anything is shuffled.
+    parts = rows.mapInArrow(added, "r bigint, i int, j int, k int, kind int, s double, n double, end_time double").where("n > 0")
+    sums = parts.groupBy("r", "i", "j", "k", "kind").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.first("end_time").alias("end_time"))
     out = sums.join(symmetric.select("r", "i", "j", F.col("k").alias("jk")), ["r", "i", "j"], "left").fillna(0.0, ["jk"])
     return out.select("r", "i", "j", "k", "kind", F.try_divide(F.col("s") - F.col("n") * F.col("jk"), F.col("end_time")).alias("e"))
 

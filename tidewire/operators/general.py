@@ -9,11 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.data import EventData
 from tidewire.functions.kernels import Exponential, ExponentialSum, Kernel, Zero
+from tidewire.functions.prox import Prox
 from tidewire.operators import bands, hawkes
 from tidewire.operators.scan import decayed_sums
+from tidewire.session import ship
 
 
 def _exponential(kernels: list[list[Kernel]]) -> tuple[np.ndarray, list[float]]:
@@ -106,6 +109,19 @@ def kernel_compensators(data: EventData, kernels: list[list[Kernel]], baseline:
     return out
 
 
+def proxed(rows: DataFrame, p: Prox, column: str = "x", step: float = 1.0) -> DataFrame:
+    """rows with a prox applied to the coefficient vector in every row. Null vectors stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            new = [None if x.as_py() is None else p(x.values.to_numpy(zero_copy_only=False), step) for x in b.column(at)]
+            yield b.set_column(at, column, pa.array(new, pa.list_(pa.float64())))
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == column else f for f in rows.schema]))
+
+
 def matched_bases(found: np.ndarray, truth: np.ndarray) -> list[tuple[int, int, float]]:
     """Greedy pairs (found, true, distance) of basis functions scaled to one integral each."""
     a, b = (np.asarray(x, float) / np.maximum(np.abs(np.asarray(x, float)).sum(axis=1, keepdims=True), 1e-300) for x in (found, truth))

@@ -96,6 +96,20 @@ class Glm:
     def grad(self, coeffs) -> np.ndarray:
         return self.loss_and_grad(coeffs)[1]
 
+    def quadratic(self) -> Quadratic:
+        """The same squared loss as a quadratic form, from one pass over the rows."""
+        p, intercept, size = self.p, self.intercept, self.size
+
+        def partial(b):
+            x, y = dense(b, "features", p), b.column(0).to_numpy(zero_copy_only=False)
+            x = np.c_[x, np.ones(len(x))] if intercept else x
+            return np.r_[(x.T @ x).ravel(), x.T @ y, y @ y]
+
+        s = task_sums(self.rows.select("label", "features"), size * size + size + 1, partial) / max(self.n, 1)
+        curve = np.full(size, self.l2)
+        curve[p:] = 0
+        return Quadratic(s[: size * size].reshape(size, size) + np.diag(curve), s[size * size : -1], float(s[-1]), self.lipschitz_max)
+
     def gram(self) -> np.ndarray:
         """X'X without the intercept."""
         p = self.p
@@ -126,6 +140,18 @@ class Glm:
         return self._curve() * top / self.n + self.l2
 
 
+class Quadratic:
+    """c'Gc / 2 - c'b + y / 2: a least-squares loss that needs the rows no more."""
+
+    def __init__(self, gram: np.ndarray, target: np.ndarray, square: float, lipschitz_max):
+        self.gram, self.target, self.square, self.lipschitz_max = gram, target, square, lipschitz_max
+
+    def loss_and_grad(self, coeffs, batch=None) -> tuple[float, np.ndarray]:
+        c = np.asarray(coeffs, float)
+        g = self.gram @ c
+        return float(c @ g / 2 - c @ self.target + self.square / 2), g - self.target
+
+
 PENALTIES = ("none", "l1", "l2", "elasticnet", "tv", "binarsity")
 
 
@@ -160,7 +186,9 @@ class Regression:
         model = Glm(rows, self.loss, self.intercept)
         p = penalty_prox(self.penalty, self.C, model.p, self.ratio, self.blocks)
         s = solvers.Solver(self.solver, step=self.step, max_iter=self.max_iter, tol=self.tol, **self.options)
-        self.coeffs = s.solve(model, p, np.zeros(model.size) if start is None else start)
+        # A squared loss is a quadratic form; only stochastic solvers look at the rows again.
+        form = model.quadratic() if isinstance(self.loss, losses.Squared) and self.solver not in ("sgd", "svrg", "saga") else model
+        self.coeffs = s.solve(form, p, np.zeros(model.size) if start is None else start)
         self.history, self.classes, self.converged = s.history, model.classes, s.converged
         self.weights, self.bias = (self.coeffs[:-1], float(self.coeffs[-1])) if self.intercept else (self.coeffs, 0.0)
         return self

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.special import minimise, normal_quantile
+from tidewire.operators import glm, solvers
 from tidewire.operators.scan import running_totals
 from tidewire.operators.weighted import task_sums
-from tidewire.session import written
+from tidewire.session import ship, written
 
 
 def risk_table(rows: DataFrame, time: str = "time", event: str = "event") -> DataFrame:
@@ -50,11 +53,17 @@ def _score(coeffs, features: str = "features"):
     return F.aggregate(F.zip_with(features, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Rows of a chunk of the sorted table of a Cox model.
+CHUNK = 20_000
+
+
 class CoxLikelihood:
     """Negative partial log-likelihood per failure; ties share one risk set (Breslow).
 
-    rows: time, event (1 for a failure), features ARRAY<DOUBLE> of one length. Sums over risk
-    sets are running totals over the distinct times, latest first.
+    rows: time, event (1 for a failure), features ARRAY<DOUBLE> of one length. Rows are sorted
+    once, latest first, and kept in chunks. An evaluation reads the chunks twice, without a
+    shuffle: first for each chunk's sums, of which the driver makes the sums before it, then
+    for the losses. A time that fills many chunks is one risk set still.
     """
 
     def __init__(self, rows: DataFrame):
@@ -64,6 +73,24 @@ class CoxLikelihood:
             raise ValueError("features differ in length")
         self.p, self.n_failures = first["p"] or 0, int(first["n"] or 0)
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        """chunk, times, events, features: the rows latest first, some in a row of the table."""
+        p = self.p
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId() << 32
+            for b in batches:
+                for i in range(0, b.num_rows, CHUNK):
+                    own = b.slice(i, CHUNK)
+                    flat = own.column(2).flatten().to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([x], pa.list_(k)) for x, k in ((own.column(0).to_numpy(), pa.float64()), (own.column(1).to_numpy(), pa.int32()), (flat, pa.float64())))], ["chunk", "times", "events", "features"])
+                    part += 1
+
+        ordered = self.rows.repartitionByRange(F.col("time").desc()).sortWithinPartitions(F.col("time").desc())
+        ship(self.rows.sparkSession)
+        return written(ordered.mapInArrow(packed, "chunk bigint, times array<double>, events array<int>, features array<double>"), f"cox-{p}")
+
     def risk_sets(self, coeffs) -> DataFrame:
         """time, d, risk, score_sum, and g0 .. of the weighted features, per distinct time."""
         s = self.rows.withColumn("s", _score(coeffs))
@@ -76,11 +103,71 @@ class CoxLikelihood:
         cum = running_totals(per, "time", ["risk", *(f"g{i}" for i in range(self.p))], descending=True)
         return cum.select("time", "d", "score_sum", F.lit(float(top)).alias("top"), F.col("cum_risk").alias("risk"), *(F.col(f"cum_g{i}").alias(f"g{i}") for i in range(self.p)), *(f"x{i}" for i in range(self.p)))
 
+    def _weighed(self, c: np.ndarray):
+        """Of a chunk: times, events, features, scores, and exp(score - top) times 1 and the features."""
+        p = self.p
+
+        def read(b: pa.RecordBatch, i: int, top: float):
+            t, e, x = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            x = x.reshape(-1, p)
+            s = x @ c
+            w = np.exp(s - top)
+            return t, e, x, s, np.c_[w, w[:, None] * x]
+
+        return read
+
+    def _offsets(self, c: np.ndarray) -> tuple[float, dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """The greatest score; and per chunk the sums of all rows before it, and of the rows
+        after it at the time of its last one."""
+        read, p = self._weighed(c), self.p
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    # Scaled by the chunk's own greatest score, so that nothing overflows.
+                    own = float((b.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(-1, p) @ c).max())
+                    t, _, _, _, w = read(b, i, own)
+                    row = [own, t[0], t[-1], *w.sum(axis=0), *w[t == t[0]].sum(axis=0)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([[float(v) for v in row]], pa.list_(pa.float64()))], ["chunk", "v"])
+
+        rows = sorted((r["chunk"], np.array(r["v"])) for r in self.chunks.mapInArrow(summed, "chunk bigint, v array<double>").collect())  # one per CHUNK rows
+        rows.sort(key=lambda r: (-r[1][1], r[0]))
+        top = max((v[0] for _, v in rows), default=0.0)
+        k = p + 1
+        before, out = np.zeros(k), {}
+        sums = [(v[3 : 3 + k] * math.exp(v[0] - top), v[3 + k :] * math.exp(v[0] - top)) for _, v in rows]
+        for (chunk, _), (all_, _) in zip(rows, sums, strict=True):
+            out[chunk] = [before.copy(), np.zeros(k)]
+            before = before + all_
+        after, begins = np.zeros(k), None  # of the rows from the next chunk on that share its first time
+        for (chunk, v), (all_, head) in zip(reversed(rows), reversed(sums), strict=True):
+            if begins is not None and begins == v[2]:
+                out[chunk][1] = after
+            after = head + (after if begins == v[1] == v[2] else 0)
+            begins = v[1]
+        return top, {k_: tuple(v) for k_, v in out.items()}
+
     def loss_and_grad(self, coeffs) -> tuple[float, np.ndarray]:
-        r = self.risk_sets(coeffs).where("d > 0")
-        sums = r.agg(F.sum(F.col("d") * (F.log("risk") + F.col("top")) - F.col("score_sum")).alias("loss"), *(F.sum(F.col("d") * F.col(f"g{i}") / F.col("risk") - F.col(f"x{i}")).alias(f"g{i}") for i in range(self.p))).first()
-        n = max(self.n_failures, 1)
-        return (sums["loss"] or 0.0) / n, np.array([sums[f"g{i}"] or 0.0 for i in range(self.p)]) / n
+        c = np.asarray(coeffs, float)
+        top, offsets = self._offsets(c)
+        sent, read, p = self.rows.sparkSession.sparkContext.broadcast(offsets), self._weighed(c), self.p
+
+        def partial(b: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(1 + p)
+            for i in range(b.num_rows):
+                before, after = sent.value[b.column(0)[i].as_py()]
+                t, e, x, s, w = read(b, i, top)
+                run = np.cumsum(w, axis=0) + before
+                last = np.searchsorted(-t, -t, side="right") - 1  # the last row of the same time
+                risk = run[last]
+                risk[last == len(t) - 1] += after
+                hit = np.flatnonzero(e)
+                out[0] += (np.log(risk[hit, 0]) + top - s[hit]).sum()
+                out[1:] += (risk[hit, 1:] / risk[hit, :1] - x[hit]).sum(axis=0)
+            return out
+
+        sums = task_sums(self.chunks, 1 + p, partial) / max(self.n_failures, 1)
+        return float(sums[0]), sums[1:]
 
     def loss(self, coeffs) -> float:
         return self.loss_and_grad(coeffs)[0]
@@ -89,6 +176,35 @@ class CoxLikelihood:
         return self.loss_and_grad(coeffs)[1]
 
 
+class CoxRegression:
+    """A penalised fit of a Cox model. penalty: none, l1, l2, elasticnet, tv or binarsity, with
+    weight 1 / C; solver gd or agd, or bfgs for smooth penalties. warm_start begins a further
+    fit where the last one ended."""
+
+    def __init__(self, penalty: str = "l2", C: float = 1e3, solver: str = "agd", step: float | None = None, tol: float = 1e-5, max_iter: int = 100, ratio: float = 0.95, blocks=None, warm_start: bool = False, **options):
+        if solver not in ("gd", "agd", "bfgs"):
+            raise ValueError("solver must be gd, agd or bfgs")
+        self.penalty, self.C, self.ratio, self.blocks, self.warm_start = penalty, C, ratio, blocks, warm_start
+        self.solver = solvers.Solver(solver, step=step, tol=tol, max_iter=max_iter, **options)
+        self.coeffs: np.ndarray | None = None
+
+    def fit(self, rows: DataFrame, start=None) -> CoxRegression:
+        """rows: time, event, features. Without failures there is nothing to fit: an error."""
+        self.model = CoxLikelihood(rows)
+        if not self.model.n_failures:
+            raise ValueError("no failures to fit")
+        if start is None:
+            start = self.coeffs if self.warm_start and self.coeffs is not None else np.zeros(self.model.p)
+        shrink = glm.penalty_prox(self.penalty, self.C, self.model.p, self.ratio, self.blocks)
+        self.coeffs = self.solver.solve(self.model, shrink, start)
+        self.history, self.converged, self.max_iter = self.solver.history, self.solver.converged, self.solver.max_iter
+        return self
+
+    def score(self, rows: DataFrame | None = None) -> float:
+        """The negative partial log-likelihood of the rows fitted, or of others."""
+        return (self.model if rows is None else CoxLikelihood(rows)).loss(self.coeffs)
+
+
 class CaseSeries:
     """Softmax likelihood within cases: how a case's events spread over its intervals.
 

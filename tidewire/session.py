@@ -82,6 +82,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, name: str, content: bytes) -> str:
+    """Write a small file of the driver's into the shared folder; its path."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).create(jvm)
+    out.write(bytearray(content))
+    out.close()
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
