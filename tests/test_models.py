@@ -201,3 +201,52 @@ def test_metrics(spark):
     assert metrics.auc(df).first()[0] == pytest.approx(want)
     last = metrics.roc_points(df).orderBy("threshold").first()
     assert last["fpr"] == last["tpr"] == 1
+
+
+def test_many_categories_are_joined(spark, monkeypatch):
+    rows = [(i, f"c{i % 40:02d}", float(i)) for i in range(200)] + [(999, None, None)]
+    df = spark.createDataFrame(rows, "id int, name string, onehot_x double")
+    few = binarizer.Binarizer(["name", "onehot_x"], n_cuts=3).fit(df)
+    want = {r["id"]: r["onehot"] for r in few.transform(df).collect()}
+    monkeypatch.setattr(binarizer, "MOST_CATEGORIES", 10)
+    many = binarizer.Binarizer(["name", "onehot_x"], n_cuts=3).fit(df)
+    assert many.tables and many.blocks() == few.blocks()
+    assert {r["id"]: r["onehot"] for r in many.transform(df).collect()} == want
+    with pytest.raises(Exception, match="unseen"):
+        many.transform(spark.createDataFrame([(1, "zz", 1.0)], df.schema)).collect()
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_order_statistics(spark, monkeypatch, most):
+    monkeypatch.setattr(quantiles, "MOST_VALUES", most)
+    monkeypatch.setattr(quantiles, "_ACCURACY", 50)
+    rng = np.random.default_rng(0)
+    x = np.r_[rng.normal(size=700), np.full(400, 0.25), rng.normal(size=5) * 1e6]
+    y = np.where(rng.uniform(size=len(x)) < 0.1, None, rng.integers(0, 4, len(x)))
+    df = spark.createDataFrame([(float(a), None if b is None else int(b), None) for a, b in zip(x, y)], "x double, y int, z double")
+    shares = [0.0, 0.01, 0.31, 0.5, 0.77, 1.0]
+    got = quantiles.column_quantiles(df, {"x": shares, "y": shares, "z": [0.5]})
+    np.testing.assert_allclose(got["x"], np.quantile(x, shares))
+    np.testing.assert_allclose(got["y"], np.quantile([b for b in y if b is not None], shares))
+    assert got["z"] == []
+    assert quantiles.quantiles(df, "x", [0.5], "nearest") == [np.sort(x)[int(np.rint(0.5 * (len(x) - 1)))]]
+
+
+@pytest.mark.parametrize("chunk", [20_000, 7])
+def test_cox_sums_over_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(survival, "CHUNK", chunk)
+    rng = np.random.default_rng(1)
+    t, e, x = np.r_[rng.integers(1, 12, 120), np.full(60, 5)].astype(float), rng.integers(0, 2, 180), rng.normal(size=(180, 2)) * 3
+    rows = spark.createDataFrame([(float(a), int(b), [float(v) for v in c]) for a, b, c in zip(t, e, x)], "time double, event int, features array<double>")
+    c = np.array([0.7, -1.2])
+    w = np.exp(x @ c)
+    risk = np.array([w[t >= a].sum() for a in t])
+    pull = np.array([(w[t >= a, None] * x[t >= a]).sum(0) for a in t]) / risk[:, None]
+    m = survival.CoxLikelihood(rows)
+    value, grad = m.loss_and_grad(c)
+    hit = e == 1
+    assert value == pytest.approx((np.log(risk) - x @ c)[hit].sum() / hit.sum())
+    np.testing.assert_allclose(grad, (pull - x)[hit].sum(0) / hit.sum(), atol=1e-9)
+    assert survival.CoxRegression("l1", C=1e9, solver="agd", max_iter=2).fit(rows).coeffs.shape == (2,)
+    with pytest.raises(ValueError):
+        survival.CoxRegression().fit(rows.withColumn("event", rows["event"] * 0))

@@ -9,7 +9,7 @@ from tidewire.functions import kernels as K
 from tidewire.operators import hawkes, simulate
 from tidewire.sources import arrays, svm_text
 from tidewire.sources.svm_grammar import number, parse_record, parse_text
-from tidewire.streaming.online import online_intensities, windowed_counts
+from tidewire.streaming.online import late_counts, late_events, online_intensities, windowed_counts
 
 
 @pytest.mark.parametrize(
@@ -49,6 +49,27 @@ def test_parse_lines(spark):
     assert svm_text.parse_lines(lines).where("reason is null").count() == 6
 
 
+def test_whole_texts(spark, tmp_path):
+    # Records with open, closed and running quotes, cut by bytes anywhere.
+    rng = np.random.default_rng(0)
+    kinds = ["1 1:0.5", "-1 2:1 3:x", '0 4:1 # "a" b', '1 5:1 # "open', '1 6:2 # "one\nmore: text\n"', "", "# only", "word", '1 1:1 # "so\n1 2:2', "1 7:1\r"]
+    text = "\n".join(rng.choice(kinds, 400)) + "\n"
+    want = [(r.line, r.label if not r.errors else None, r.reason) for r in parse_text(text, 1, 9) if not r.empty]
+    (tmp_path / "t.svm").write_text(text, newline="")
+    key = lambda r: (r["line_no"], r["label"], r["reason"])
+    for size in ("400b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        got = svm_text.read_svm_text(spark, str(tmp_path / "t.svm"), 1, 9)
+        assert sorted(map(key, got.collect())) == sorted(want, key=lambda x: x[0])
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    texts = spark.createDataFrame([("f", text, 1), ("g", None, 1), ("h", "", 1)], "file_name string, text string, line_no int")
+    files = spark.createDataFrame([("f", 1, 9)], "file_name string, first_index int, n_features int")
+    for piece in (50, 1 << 22):
+        assert sorted(map(key, svm_text.parse_texts(texts, files, piece=piece).collect())) == sorted(want, key=lambda x: x[0])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.svm").write_text('1 1:0.5 3:2 # "c"\n\n# none\n-1 2:1 word\n')
     got = svm_text.read_svmlight(spark, str(tmp_path / "a.svm")).orderBy("label").collect()
@@ -147,5 +168,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["r"], r["node"], r["t"]): r["intensity"] for r in spark.table("lam").collect()}
     for r in hawkes.intensities(data, p).collect():
         assert got[r["r"], r["node"], r["t"]] == pytest.approx(r["intensity"], rel=1e-10)
+    assert late_events(spark.table("lam")).count() == 0
+    # The same events in any order within the delay, and some far too late.
+    rows = sorted([(r["r"], r["node"], r["t"]) for r in data.events.collect()], key=lambda x: x[2] + rng.uniform(0, 4))
+    for i, part in enumerate([rows[:40], rows[40:], [(r, 0, 1e-9) for r in range(3)] + [(r, 0, 100.0) for r in range(3)]]):
+        spark.createDataFrame(part, "r bigint, node int, t double").coalesce(1).write.mode("append").parquet(str(tmp_path / "mixed"))
+    stream = spark.readStream.schema("r bigint, node int, t double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "mixed"))
+    q = online_intensities(stream, p, delay=4.0).writeStream.format("memory").queryName("mixed").option("checkpointLocation", str(tmp_path / "d")).start()
+    q.processAllAvailable()
+    q.stop()
+    placed = {(r["r"], r["node"], r["t"]): r["intensity"] for r in spark.table("mixed").where("not late").collect()}
+    assert placed == {k: pytest.approx(v, rel=1e-10) for k, v in got.items()}
+    assert sorted(r["t"] for r in late_events(spark.table("mixed")).collect()) == [1e-9] * 3
+    assert {r["node"]: r["late"] for r in late_counts(spark.table("mixed")).collect()}[0] == 3
     w = windowed_counts(spark.createDataFrame([(1, 0), (2, 0)], "s int, node int").selectExpr("timestamp_seconds(s) as s", "node"), "s", "node", "10 seconds", "1 minute")
     assert w.first()["n"] == 2

@@ -404,43 +404,106 @@ def distance_histories(spark: SparkSession, folder: str) -> DataFrame:
 SQL["distance_histories"] = "select o_orderkey, round(o_totalprice - min(o_totalprice) over (partition by o_custkey), 4) as distance from orders"
 
 
-# ---- fits: iterative, so without SQL ----
+# ---- fits: iterative; their SQL computes them another way, or states what holds at them ----
 
 #: Far more rounds than the fits need until they stop by themselves.
-ROUNDS = 1000
+ROUNDS = 100_000
 
 
-def _fit(name: str, label, **options):
+def regression(spark: SparkSession, folder: str, label, **options) -> glm.Regression:
+    return finished(glm.Regression(max_iter=ROUNDS, **options).fit(_lines(spark, folder, label())))
+
+
+@query
+def fit_linear_regression(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients of a ridge regression of prices, at the minimum."""
+    fit = regression(spark, folder, _price, loss=losses.Squared(), solver="agd", penalty="l2", C=10.0, step=0.3, tol=1e-16)
+    return array_table(spark, fit.coeffs, "k", decimals=4)
+
+
+# Gradient descent on the normal equations, to their solution.
+_W4 = ["w0", "w1", "w2", "w3"]
+_G4 = [[f"g{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+_X4 = ["a", "b", "c", "1.0"]
+SQL["fit_linear_regression"] = f"""with recursive x as (select (l_extendedprice / 50000)::double as y, (l_quantity / 50)::double as a, (l_discount * 10)::double as b, (l_tax * 10)::double as c from lineitem),
+g as (select {', '.join(f'avg({_X4[i]} * {_X4[j]}) as g{i}{j}' for i in range(4) for j in range(i, 4))}, {', '.join(f'avg({_X4[i]} * y) as t{i}' for i in range(4))} from x),
+d as (select 0 as n, 0.0::double as w0, 0.0::double as w1, 0.0::double as w2, 0.0::double as w3
+  union all
+  select n + 1, {', '.join(f"{w} - 0.5 * ({' + '.join(f'{_G4[i][j]} * w{j}' for j in range(4))} - t{i}{f' + 0.1 * w{i}' if i < 3 else ''})" for i, w in enumerate(_W4))} from d, g where n < 3000)
+select k::int as k, (round([w0, w1, w2, w3][k + 1], 4) + 0.0) as value from d, range(0, 4) z(k) where n = 3000"""
+
+
+def _optimal(name: str, label, check, **options):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        fit = finished(glm.Regression(step=0.5, max_iter=ROUNDS, **options).fit(_lines(spark, folder, label())))
-        return array_table(spark, fit.coeffs, "k")
+        fit = regression(spark, folder, label, **options)
+        model = glm.Glm(_lines(spark, folder, label()), fit.loss)
+        return spark.createDataFrame([(k, bool(x)) for k, x in enumerate(check(fit, model))], "k int, optimal boolean")
+
+    run.__doc__ = f"Optimality of {name}, coefficient by coefficient."
+    QUERIES[name], SQL[name] = run, "select k::int as k, true as optimal from range(0, 4) z(k)"
+
 
-    run.__doc__ = f"Coefficients of {name}."
-    QUERIES[name] = run
+def _flat(weight: float):
+    """Slopes of a loss with a ridge penalty of that weight on all but the intercept."""
+    return lambda fit, model: np.abs(model.grad(fit.coeffs) + weight * np.r_[fit.coeffs[:-1], 0]) < 1e-4
 
 
-_fit("fit_linear_regression", _price, loss=losses.Squared(), solver="agd", penalty="l2")
-_fit("fit_logistic_regression", _returned, loss=losses.Logistic(), solver="svrg", penalty="elasticnet", batches=2)
-_fit("fit_poisson_regression", _count, loss=losses.Poisson(), solver="bfgs", penalty="none")
-_fit("fit_binarsity_regression", _price, loss=losses.Squared(), solver="gd", penalty="binarsity", blocks=[(0, 3)])
+def _fixed(fit, model):
+    """A further proximal step leaves the coefficients where they are."""
+    p = glm.penalty_prox(fit.penalty, fit.C, model.p, fit.ratio, fit.blocks)
+    return np.abs(p(fit.coeffs - 0.3 * model.grad(fit.coeffs), 0.3) - fit.coeffs) < 1e-4
+
+
+_optimal("fit_logistic_regression", _returned, _flat(1e-3), loss=losses.Logistic(), solver="bfgs", penalty="l2")
+_optimal("fit_poisson_regression", _count, _flat(0.0), loss=losses.Poisson(), solver="bfgs", penalty="none")
+_optimal("fit_elasticnet_regression", _price, _fixed, loss=losses.Squared(), solver="agd", penalty="elasticnet", C=50.0, step=0.3, tol=1e-14)
+_optimal("fit_binarsity_regression", _price, _fixed, loss=losses.Squared(), solver="gd", penalty="binarsity", blocks=[(0, 3)], step=0.3, tol=1e-14)
 
 
 @query
 def fit_cox(spark: SparkSession, folder: str) -> DataFrame:
-    """Cox coefficients under an l2 penalty, by accelerated gradient descent."""
-    c = solvers.Solver("agd", step=1.0, max_iter=3).solve(survival.CoxLikelihood(_lives(spark, folder)), prox.ProxL2Squared(1e-3), np.zeros(2))
-    return array_table(spark, c, "k")
+    """Optimality of a Cox fit under a ridge penalty, and of a second one from where it ended."""
+    fit = survival.CoxRegression("l2", C=1e3, solver="bfgs", tol=1e-5, warm_start=True).fit(_lives(spark, folder))
+    first = finished(fit).coeffs
+    fit.solver.max_iter = 1
+    again = np.abs(fit.fit(_lives(spark, folder)).coeffs - first) < 1e-3
+    flat = np.abs(fit.model.grad(first) + 1e-3 * first) < 1e-4
+    return spark.createDataFrame([(k, bool(a), bool(b)) for k, (a, b) in enumerate(zip(flat, again, strict=True))], "k int, optimal boolean, warm boolean")
+
+
+SQL["fit_cox"] = "select k::int as k, true as optimal, true as warm from range(0, 2) z(k)"
+
+
+def case_series(spark: SparkSession, folder: str):
+    return finished(survival.LaggedCaseSeries(LAGS, c_tv=100.0, c_group=100.0).fit(*_series(spark, folder)))
 
 
 @query
 def fit_case_series(spark: SparkSession, folder: str) -> DataFrame:
-    fit = finished(survival.LaggedCaseSeries(LAGS, c_tv=100.0, c_group=100.0).fit(*_series(spark, folder)))
-    rows = [(k, float(c), *(float(x) if math.isfinite(x) else None for x in i)) for k, (c, i) in enumerate(zip(fit.coeffs, fit.intervals(), strict=True))]
-    return spark.createDataFrame(rows, "k int, value double, low double, high double")
+    """Half widths of the intervals of the lagged effects, and whether the fit is a minimum."""
+    fit = case_series(spark, folder)
+    done = fit.history[0]["slope"] < 1e-5
+    rows = [(k, round((b - a) / 2, 6) if math.isfinite(b) else None, bool(done and a < c < b)) for k, (c, (a, b)) in enumerate(zip(fit.coeffs, fit.intervals(), strict=True))]
+    return spark.createDataFrame(rows, "k int, width double, optimal boolean")
+
+
+SQL["fit_case_series"] = f"""with {_FT}, {_LG}, {_RW}, ob as (select feature, sum(value * y) as o, sum(value * total / m) as e from lg join sc using (case_id, interval) join nz using (case_id) group by feature)
+select k::int as k, {s6('1.959963984540054 * sqrt(1 / (o + 0.5) + 1 / (e + 0.5))')} as width, true as optimal from range(0, {P}) z(k) left join ob on ob.feature = k"""
+
+
+def robust_fit(spark: SparkSession, folder: str):
+    p = table(spark, folder, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_retailprice") / 1000).alias("label"), F.array((F.col("p_size") / 50).cast("double")).alias("features"))
+    return glm.robust_regression(p, C_rows=100000.0, max_iter=1000, strict=True)
 
 
 @query
 def fit_robust_regression(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts whose price is far from a line in their size."""
-    p = table(spark, folder, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_retailprice") / 1000).alias("label"), F.array((F.col("p_size") / 50).cast("double")).alias("features"))
-    return glm.robust_regression(p, C_rows=100000.0, max_iter=ROUNDS, strict=True)[1]
+    """Parts of which every fiftieth has its price shifted: the rows found to be outliers. The
+    penalty on row intercepts is scaled by the rows and the spread of the prices."""
+    shift = F.when(F.pmod("p_partkey", F.lit(50)) == 0, F.when(F.pmod("p_partkey", F.lit(100)) == 0, 4.0).otherwise(-4.0)).otherwise(0.0)
+    p = table(spark, folder, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_retailprice") / 1000 + shift).alias("label"), F.array((F.col("p_size") / 50).cast("double")).alias("features"))
+    found = glm.robust_regression(p, C_rows=p.count() / metrics.std_mad(p, "label"), penalty="none", max_iter=1000, strict=True)[1]
+    return found.select("row_id", F.signum("mu").cast("int").alias("side"))
+
+
+SQL["fit_robust_regression"] = "select p_partkey as row_id, (case when p_partkey % 100 = 0 then 1 else -1 end)::int as side from part where p_partkey % 50 = 0"

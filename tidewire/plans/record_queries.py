@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.session import table
-from tidewire.sources.svm_text import parse_lines
+from tidewire.session import shared_dir, table
+from tidewire.sources.svm_text import parse_lines, read_svm_text
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,7 +26,25 @@ def p3_valid(spark: SparkSession, folder: str) -> DataFrame:
     return p3_records(spark, folder).where("reason is null").select("line_id", "label", "idx", "val")
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p3_valid": p3_valid}
+def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of the records of svm_lines without an error, entry by entry."""
+    x = p3_valid(spark, folder).select("line_id", "label", F.explode(F.arrays_zip("idx", "val")).alias("e"))
+    return x.select("line_id", "label", F.col("e.idx").alias("idx"), F.round("e.val", 9).alias("val"))
+
+
+def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole files of orders as records, read again: every seventh has a quote that never ends,
+    others a note in quotes that runs over a line end. Each record comes out with its reason."""
+    k = F.col("o_orderkey")
+    note = F.when(k % 7 == 0, ' # k=%s "open').when(k % 11 == 0, ' # k=%s "one\nmore # of it"').otherwise(" # k=%s")
+    line = F.concat((k % 2).cast("string"), F.lit(" "), (k + 1).cast("string"), F.lit(":0.5"), F.replace(note, F.lit("%s"), k.cast("string")))
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    table(spark, folder, "orders").select(line.alias("value")).write.text(path)
+    found = read_svm_text(spark, path)
+    return found.select(F.regexp_extract("comment", "k=([0-9]+)", 1).cast("bigint").alias("o_orderkey"), "label", "n_pairs", "reason")
+
+
+QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p3_valid": p3_valid, "p3_entries": p3_entries, "p3_texts": p3_texts}
 
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
@@ -55,4 +76,8 @@ r as (
       and try_cast(regexp_extract(com, '(^| )n=([0-9]+)', 2) as bigint) is distinct from len(pairs) then 'count'
     end as reason from q)
 select line_id, reason from r where reason is not null""",
+    "p3_texts": "select o_orderkey, case when o_orderkey % 7 <> 0 then (o_orderkey % 2)::double end as label, 1::int as n_pairs, case when o_orderkey % 7 = 0 then 'quote' end as reason from orders",
 }
+_R = SQL["p3_found"].rindex("select line_id, reason from r")
+_VALID = SQL["p3_found"][:_R].replace("select line_id, case", "select line_id, tok[1] as y, li, lv, case")
+SQL["p3_entries"] = _VALID + "select line_id, y::double as label, unnest(li)::bigint as idx, round(unnest(lv)::double, 9) as val from r where reason is null"

@@ -160,6 +160,22 @@ def parse_text(text: str, first: int | None = None, n_features: int | None = Non
         at = stop + 1
 
 
+def anchor(text: str, at: int) -> int | None:
+    """The first line start from at on where an anchor stands, None if there is none.
+
+    at is taken for a line start. At an anchor outside of a well-formed quote a record begins,
+    whatever went wrong before it.
+    """
+    while at < len(text):
+        if _ANCHOR.match(text, at):
+            return at
+        end = text.find("\n", at)
+        if end < 0:
+            return None
+        at = end + 1
+    return None
+
+
 def _quote_end(text: str, end: int) -> int:
     """Where the record ends whose quote is open at the line end given."""
     at = end
