@@ -28,7 +28,9 @@ def pivots_of(reps: DataFrame, count: int) -> np.ndarray:
     """The first level's pivots: a sample of distinct vectors, those of the smallest hashes of
     their keys. Its size is bounded by MOST; every vector is indexed, in the sample or not."""
     n = min(MOST, max(FEWEST, count // LIST_SIZE))
-    rows = reps.select("rep", "x").orderBy(F.xxhash64("rep"), "rep").limit(n).collect()
+    # Only about four times as many rows as are wanted take part, whatever the number of tasks.
+    some = reps if count <= 4 * n else reps.where(F.shiftrightunsigned(F.xxhash64("rep"), 11) < F.lit(int((1 << 53) * 4 * n / count)))
+    rows = some.select("rep", "x").orderBy(F.xxhash64("rep"), "rep").limit(n).collect()
     return np.array([r["x"] for r in rows], np.float64)
 
 
@@ -186,7 +188,7 @@ def _search(k: int, share: float, least: int, radius: float | None):
     return searched
 
 
-def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius: float | None = None, length: int = 54, prefix: int = 16, post: int = 4, probe: int = 12, share: float = 0.5, least: int = 512, key: str = "row_id", features: str = "features") -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, radius: float | None = None, length: int = 54, prefix: int = 16, post: int = 4, probe: int = 16, share: float = 0.5, least: int = 512, key: str = "row_id", features: str = "features") -> DataFrame:
     """The k nearest other vectors of every query row: key, rank, neighbour, dist.
 
     queries has the keys that ask, each once; without it all rows ask. Distance is Euclidean,

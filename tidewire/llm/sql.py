@@ -151,7 +151,7 @@ where row_id is not null and k > 0 group by plan_id, k""",
 with s as (
   select plan_id, regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') as source, sum(greatest(coalesce(weight, 0), 0)) as weight, min(max_repeats) as cap
   from mix_targets where source is not null group by 1, 2),
-d as (select distinct regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') as source from documents where text <> '')
+d as (select distinct regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') as source from documents where text <> '' and source is not null)
 select plan_id, source, round(weight / sum(weight) over (partition by plan_id), 6) as target_share,
   weight > 0 and coalesce(cap, 1) > 0 and source in (from d) as used, true as close, true as capped
 from s""",
