@@ -52,7 +52,7 @@ def in_memory(monkeypatch):
 
     def sums(features, mu, weights):
         if id(features) not in kept:
-            b = features.select("node", "phi").toArrow().combine_chunks().to_batches()[0]
+            b = getattr(features, "df", features).select("node", "phi").toArrow().combine_chunks().to_batches()[0]
             kept[id(features)] = features, b.column(0).to_numpy(zero_copy_only=False).astype(int), dense(b, "phi", weights.shape[1])
         _, node, phi = kept[id(features)]
         lam = mu[node] + (phi * weights[node]).sum(1)

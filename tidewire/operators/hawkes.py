@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.data import EventData
 from tidewire.operators.scan import decayed_sums, previous, ranks
-from tidewire.operators.weighted import Sums, dense, task_sums, weighted_sums
+from tidewire.operators.weighted import Sums, dense, iterated, task_sums, weighted_sums
 
 
 def _rows(a: np.ndarray) -> Column:
@@ -20,11 +22,33 @@ def _rows(a: np.ndarray) -> Column:
 
 
 def dot(phi: Column | str, weights: np.ndarray, node: Column | str = "node") -> Column:
-    """weights[node] . phi, the weights as a literal."""
+    """weights[node] . phi, the weights as literals of the plan; for weights of at most
+    MOST_LITERALS, see weighed."""
     own = F.element_at(_rows(weights), F.col(node) + 1 if isinstance(node, str) else node + 1)
     return F.aggregate(F.zip_with(phi, own, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Weights that may stand in a plan; more are sent to the tasks as an array.
+MOST_LITERALS = 4096
+
+
+def weighed(rows: DataFrame, name: str, weights: np.ndarray, base: Column, phi: str = "phi", node: str = "node") -> DataFrame:
+    """rows with name = base + weights[node] . phi. Many weights don't become literals but go
+    to the tasks once, where batches are multiplied in numpy."""
+    if np.size(weights) <= MOST_LITERALS:
+        return rows.withColumn(name, base + dot(phi, weights, node))
+    sent, width = rows.sparkSession.sparkContext.broadcast(np.asarray(weights, float)), np.shape(weights)[1]
+    based = rows.withColumn(name, base)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, v = b.schema.get_field_index(name), b.column(b.schema.get_field_index(node)).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = b.column(at).to_numpy(zero_copy_only=False) + np.einsum("kf,kf->k", dense(b, phi, width), sent.value[v])
+            yield b.set_column(at, name, pa.array(x))
+
+    return based.mapInArrow(added, based.schema)
+
+
 def by_node(values, node: Column | str = "node") -> Column:
     return F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col(node) + 1 if isinstance(node, str) else node + 1)
 
@@ -80,7 +104,7 @@ def exp_features(data: EventData, decays: list[float]) -> DataFrame:
 def intensities(data: EventData, p: ExpParameters) -> DataFrame:
     """events with intensity, of the event's own node just before it."""
     f = exp_features(data, p.rates)
-    return f.withColumn("intensity", by_node(p.mu) + dot("phi", p.weights())).drop("phi")
+    return weighed(f, "intensity", p.weights(), by_node(p.mu)).drop("phi")
 
 
 def intensity_grid(data: EventData, p: ExpParameters, step: float) -> DataFrame:
@@ -91,13 +115,13 @@ def intensity_grid(data: EventData, p: ExpParameters, step: float) -> DataFrame:
     rows = data.events.select("r", "node", "t").unionByName(points.select("r", "node", "t"))
     f = decayed_sums(rows, data.n_nodes, p.rates).where("node is null").drop("node")
     at = f.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(data.n_nodes - 1))))
-    return at.select("r", "t", "node", (by_node(p.mu) + dot("phi", p.weights())).alias("intensity"))
+    return weighed(at, "intensity", p.weights(), by_node(p.mu)).select("r", "t", "node", "intensity")
 
 
 def compensators(data: EventData, p: ExpParameters) -> DataFrame:
     """events with compensator: the integral of the own node's intensity up to the event."""
     f = decayed_sums(data.events, data.n_nodes, [*p.rates, 0.0])
-    return f.withColumn("compensator", by_node(p.mu) * F.col("t") + dot("phi", p.compensator_weights())).drop("phi")
+    return weighed(f, "compensator", p.compensator_weights(), by_node(p.mu) * F.col("t")).drop("phi")
 
 
 def residuals(compensated: DataFrame) -> DataFrame:
@@ -144,9 +168,9 @@ class LogLikelihood:
         self.data, self.decays = data, decays
 
     @cached_property
-    def features(self) -> DataFrame:
+    def features(self):
         rates = ExpParameters(np.zeros(self.data.n_nodes), self._alpha(None), self.decays).rates
-        return exp_features(self.data, rates).select("node", "phi")  # read from the scan's table
+        return iterated(exp_features(self.data, rates).select("node", "phi"), self.data.n_jumps, self.data.n_nodes * len(rates))  # read from the scan's table
 
     def _alpha(self, flat) -> np.ndarray:
         n = self.data.n_nodes

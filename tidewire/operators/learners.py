@@ -14,7 +14,7 @@ from tidewire.functions.prox import ProxNuclear, soft
 from tidewire.functions.special import erf, minimise, relative_distance
 from tidewire.operators import bands, hawkes
 from tidewire.operators.scan import decayed_sums
-from tidewire.operators.weighted import Sums, task_sums, weighted_sums
+from tidewire.operators.weighted import Sums, iterated, task_sums, weighted_sums
 from tidewire.session import written
 
 
@@ -47,7 +47,8 @@ class Expectation(_Fit):
 
     def prepare(self, data: EventData) -> None:
         self.data = data
-        self.counts = written(bands.bin_counts(data, self.edges).select("node", "phi"), "em-counts")
+        counts = written(bands.bin_counts(data, self.edges).select("node", "phi"), "em-counts")
+        self.counts = iterated(counts, data.n_jumps, data.n_nodes * (len(self.edges) - 1))
 
     def step(self, mu: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One update of baseline and kernel."""
@@ -144,7 +145,7 @@ class SparseLowRank(_Fit):
 
     def prepare(self, data: EventData) -> None:
         self.data = data
-        self.features = hawkes.exp_features(data, [self.decay]).select("node", "phi")  # read from the scan's table
+        self.features = iterated(hawkes.exp_features(data, [self.decay]).select("node", "phi"), data.n_jumps, data.n_nodes)  # read from the scan's table
         self.integrals = hawkes.source_integrals(data, [self.decay])[:, 0]
 
     def sums(self, mu, a) -> Sums:
@@ -204,7 +205,8 @@ class GaussianMixture(_Fit):
 
     def prepare(self, data: EventData) -> None:
         self.data = data
-        self.features = written(bands.gaussian_features(data, self.means, self.std).select("node", "phi"), "gaussian-features")
+        features = written(bands.gaussian_features(data, self.means, self.std).select("node", "phi"), "gaussian-features")
+        self.features = iterated(features, data.n_jumps, data.n_nodes * len(self.means))
         n, m, means, std = data.n_nodes, len(self.means), self.means, self.std
 
         def partial(b):
@@ -270,7 +272,8 @@ class SharedBasis(_Fit):
 
     def prepare(self, data: EventData) -> None:
         self.data = data
-        self.counts = written(bands.step_counts(data, self.dt, self.size).select("node", "phi"), "basis-counts")
+        counts = written(bands.step_counts(data, self.dt, self.size).select("node", "phi"), "basis-counts")
+        self.counts = iterated(counts, data.n_jumps, data.n_nodes * self.size)
         self.exposure = bin_exposure(data, np.arange(self.size + 1) * self.dt)
         late = [F.sum((F.col("t") <= F.col("end_time") - F.lit(m * self.dt)).cast("double")).alias(f"m{m}") for m in range(self.size)]
         self.early = np.zeros((data.n_nodes, self.size))

@@ -59,7 +59,8 @@ def decayed_sums(rows: DataFrame, n_nodes: int, decays: list[float], node: str =
     weight = np.where(rates > 0, rates, 1.0)
     n_u = len(rates)
     kept = rows.where(F.col(by).isNotNull() & F.col(time).isNotNull())
-    ordered = kept.repartitionByRange(by, time).sortWithinPartitions(by, time)
+    # Rows grow by the features, so tasks aren't merged by the size they have before.
+    ordered = kept.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), by, time).sortWithinPartitions(by, time)
     own = kept.schema.names
     at_r, at_t, at_node = (own.index(c) for c in (by, time, node))
     out_names = [*own, "phi", "_part", "_last"]

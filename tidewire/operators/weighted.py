@@ -59,7 +59,28 @@ class Sums:
     over: np.ndarray
 
 
-def weighted_sums(features: DataFrame, mu: np.ndarray, weights: np.ndarray) -> Sums:
+#: Bytes of a feature table that the driver may keep for an iteration.
+LOCAL_BYTES = 32 << 20
+
+
+@dataclass
+class Local:
+    """A feature table of at most LOCAL_BYTES, also in the driver's memory: an iteration of
+    hundreds of steps then takes no job for each. The sums are the same either way."""
+
+    df: DataFrame
+    batches: list[pa.RecordBatch]
+
+
+def iterated(features: DataFrame, rows: int, width: int) -> DataFrame | Local:
+    """A written table of node and phi (width numbers) for many calls of weighted_sums: kept
+    local too if its known number of rows bounds it by LOCAL_BYTES, else as it is."""
+    if rows * (width + 1) * 8 > LOCAL_BYTES:
+        return features
+    return Local(features, features.select("node", "phi").toArrow().combine_chunks().to_batches())
+
+
+def weighted_sums(features: DataFrame | Local, mu: np.ndarray, weights: np.ndarray) -> Sums:
     """Sums over a table of node and phi, for intensity mu[node] + weights[node] . phi."""
     d, width = weights.shape
 
@@ -75,5 +96,8 @@ def weighted_sums(features: DataFrame, mu: np.ndarray, weights: np.ndarray) -> S
             over[u] = inv[own] @ phi[own]
         return np.r_[len(node), (~ok).sum(), np.log(lam[ok]).sum(), np.bincount(node, inv, d), over.ravel()]
 
-    s = task_sums(features.select("node", "phi"), 3 + d + d * width, partial)
+    if isinstance(features, Local):
+        s = sum((partial(b) for b in features.batches if b.num_rows), np.zeros(3 + d + d * width))
+    else:
+        s = task_sums(features.select("node", "phi"), 3 + d + d * width, partial)
     return Sums(int(round(s[0])), int(round(s[1])), float(s[2]), s[3 : 3 + d], s[3 + d :].reshape(d, width))
