@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from tidewire.operators.weighted import task_sums
 from tidewire.session import written
 
-#: Documents that the line model is fitted on by default, at most.
-FIT_DOCUMENTS = 2000
 #: Characters that numpy handles at once, unless one text has more.
 _CHARS = 1 << 20
+#: Lines that numpy handles at once, unless one text has more.
+_LINES = 1 << 17
+#: Lines of a document that a fit goes through one by one; longer ones are cut into pieces.
+_PIECE = 256
 #: Common words that are sent to all tasks, 8 bytes each; a larger table is joined.
 MOST_COMMON = 1_000_000
 
@@ -123,10 +125,10 @@ class Block:
     word_line: np.ndarray
     word_key: np.ndarray
 
-    @property
-    def ended(self) -> np.ndarray:
-        """Which lines end in . ! or ?, as their codes have it."""
-        return np.unravel_index(self.codes, _SIZES)[1] == 0
+
+def _ended(codes: np.ndarray) -> np.ndarray:
+    """Which lines end in . ! or ?, as their codes have it."""
+    return np.unravel_index(codes, _SIZES)[1] == 0
 
 
 def measure(texts: list[str], langs: list[str | None], common: CommonWords, given: list[list[dict]] | None = None) -> Block:
@@ -232,32 +234,81 @@ class LineModel:
 
     def expected(self, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Forward and backward: the expected counts of statistics by state, moves and starts of
-        some documents, one after the other, in one vector."""
-        order, steps = _padded(lengths)
-        begin = (np.cumsum(lengths) - lengths)[order]
-        b = np.exp(self.scores())[codes]
-        forward, gamma = np.zeros((len(codes), 4)), np.zeros((len(codes), 4))
+        some documents, one after the other, in one vector.
+
+        Long documents are cut into pieces that run side by side: the product of a piece's steps
+        tells how it is entered and left, so the counts are those of the whole document.
+        """
+        if not len(codes):
+            return np.zeros(4 * sum(_SIZES) + 20)
+        count = -(-lengths // _PIECE)
+        doc = np.repeat(np.arange(len(lengths)), count)
+        first = np.cumsum(count) - count
+        size = np.minimum(_PIECE, lengths[doc] - (np.arange(len(doc)) - first[doc]) * _PIECE)
+        # Lines by their step within the piece, then pieces by falling size: those of a step stand together.
+        order, steps = _padded(size)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        offset = np.cumsum(steps) - steps
+        end = np.cumsum(size)
+        place = offset[np.arange(len(codes)) - np.repeat(end - size, size)] + np.repeat(rank, size)
+        placed = np.empty(len(codes), np.int64)
+        placed[place] = codes
+        b = np.exp(self.scores())[placed]
+        enter, leave = np.tile(self.start, (len(size), 1)), np.ones((len(size), 4))
+        self._join(count, first, rank, b, offset, steps, enter, leave)
+
+        forward, back = np.empty_like(b), np.empty_like(b)
         for t, m in enumerate(steps):
-            at = begin[:m] + t
-            f = (self.start if t == 0 else forward[at - 1] @ self.move) * b[at]
-            forward[at] = f / f.sum(axis=1, keepdims=True)
-        moved, begun, back = np.zeros((4, 4)), np.zeros(4), np.ones((len(lengths), 4))
+            at = offset[t]
+            f = (enter if t == 0 else forward[offset[t - 1] : offset[t - 1] + m] @ self.move) * b[at : at + m]
+            forward[at : at + m] = f / f.sum(axis=1, keepdims=True)
+        moved = np.zeros((4, 4))
         for t in range(len(steps) - 1, -1, -1):
-            m = steps[t]
-            at = begin[:m] + t
-            g = forward[at] * back[:m]
-            gamma[at] = g / g.sum(axis=1, keepdims=True)
+            at, m = offset[t], steps[t]
+            back[at : at + m] = leave[:m]
             if t:
-                x = b[at] * back[:m]
-                joint = forward[at - 1][:, :, None] * self.move * x[:, None, :]
-                moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                new = x @ self.move.T
-                back[:m] = new / new.sum(axis=1, keepdims=True)
-            else:
-                begun = gamma[at].sum(axis=0)
-        values = np.unravel_index(codes, _SIZES)
-        seen = [np.stack([np.bincount(values[f], gamma[:, s], n) for s in range(4)]).ravel() for f, n in enumerate(_SIZES)]
-        return np.concatenate([*seen, moved.ravel(), begun])
+                moved += self._moves(forward[offset[t - 1] : offset[t - 1] + m], b[at : at + m] * leave[:m], leave)
+        later = np.flatnonzero(np.arange(len(doc)) > first[doc])
+        begin = rank[later]
+        moved += self._moves(forward[place[end[later - 1] - 1]], b[begin] * back[begin])
+        gamma = forward * back
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        by_code = np.stack([np.bincount(placed, gamma[:, s], int(np.prod(_SIZES))) for s in range(4)]).reshape(4, *_SIZES)
+        seen = [by_code.sum(axis=tuple(i + 1 for i in range(len(_SIZES)) if i != f)).ravel() for f in range(len(_SIZES))]
+        return np.concatenate([*seen, moved.ravel(), gamma[rank[first[count > 0]]].sum(axis=0)])
+
+    def _moves(self, before: np.ndarray, after: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """Expected moves between lines with the forward vectors before and likelihood times
+        backward vectors after; the lines before get their backward vectors in back."""
+        new = after @ self.move.T
+        if back is not None:
+            back[: len(new)] = new / new.sum(axis=1, keepdims=True)
+        return self.move * (before.T @ (after / (before * new).sum(axis=1, keepdims=True)))
+
+    def _join(self, count, first, rank, b, offset, steps, enter, leave) -> None:
+        """Fill in how pieces of documents with several are entered and left, by rank."""
+        docs = np.flatnonzero(count > 1)
+        if not len(docs):
+            return
+        docs = docs[np.argsort(-count[docs], kind="stable")]
+        most = -count[docs]
+        cut = np.sort(rank[np.repeat(count > 1, count)])
+        through = np.tile(np.eye(4), (len(cut), 1, 1))
+        for t, m in enumerate(steps):
+            k = np.searchsorted(cut, m)
+            if not k:
+                break
+            x = (through[:k] if t == 0 else through[:k] @ self.move) * b[offset[t] + cut[:k], None, :]
+            through[:k] = x / x.sum(axis=(1, 2), keepdims=True)
+        for k in range(1, -most[0]):
+            p = first[docs[: np.searchsorted(most, -k)]] + k
+            e = np.einsum("ni,nij->nj", enter[rank[p - 1]], through[np.searchsorted(cut, rank[p - 1])]) @ self.move
+            enter[rank[p]] = e / e.sum(axis=1, keepdims=True)
+        for k in range(-most[0] - 1, 0, -1):
+            p = first[docs[: np.searchsorted(most, -k)]] + k
+            e = np.einsum("nij,nj->ni", through[np.searchsorted(cut, rank[p])], leave[rank[p]]) @ self.move.T
+            leave[rank[p - 1]] = e / e.sum(axis=1, keepdims=True)
 
     def updated(self, counts: np.ndarray, weight: float = 20.0) -> LineModel:
         """The model of expected counts; weight scales the prior ones."""
@@ -270,6 +321,10 @@ class LineModel:
         new.move, new.start = moved / moved.sum(axis=1, keepdims=True), begun / begun.sum()
         return new
 
+    def change(self, old: LineModel) -> float:
+        """The largest difference of a probability from another model's."""
+        return max(float(np.abs(a - b).max()) for a, b in zip([*self.emit, self.move, self.start], [*old.emit, old.move, old.start], strict=True))
+
     def label(self, lengths: np.ndarray, codes: np.ndarray, scores: np.ndarray | None = None) -> np.ndarray:
         """The most likely state of every line (Viterbi), documents one after the other."""
         b = self.scores() if scores is None else scores
@@ -341,36 +396,54 @@ def _with_line_counts(texts: DataFrame, table: DataFrame, lang: str = "lang", wo
     return texts.join(lines.groupBy("_id").agg(F.collect_list(F.struct("line", "c")).alias("given")), "_id", "left").select("key", "lang", "text", "given")  # an entry per line of the text
 
 
-def fit_lines(texts: DataFrame, common: CommonWords, documents: int = FIT_DOCUMENTS, rounds: int = 12) -> LineModel:
-    """Fit the line model by Baum-Welch on a sample of texts (key, lang, text): those of the
-    least hashes of their keys, documents of them, whole. Only the fit uses the sample, every
-    document is labelled. A round adds up one small vector per task."""
-    h = F.shiftrightunsigned(F.xxhash64("key"), 11)
-    # Only about four times as many keys as are wanted take part, whatever the number of tasks.
-    n = texts.count()
-    some = texts if n <= 4 * documents else texts.where(h < F.lit(int((1 << 53) * 4 * documents / n)))
-    least = [r[0] for r in some.select(h).orderBy(h).limit(documents).collect()]
-    if not least:
-        return LineModel()
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, block in _blocks(batches, common):
-            ends = np.searchsorted(block.line_doc, np.arange(len(keys) + 1))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(block.codes))], ["codes"])
+def _documents(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, numbers of lines, codes) of a column of lists of codes, some documents at a time."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, ends = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lengths)]
+    at = 0
+    while at < len(lengths):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _LINES, side="right")) - 1)
+        yield slice(at, to), lengths[at:to], codes[ends[at] : ends[to]].astype(np.int64)
+        at = to
+
 
-    codes = written(texts.where(h <= least[-1]).mapInArrow(coded, "codes array<int>").where(F.size("codes") > 0), "quality-codes")
+def fit_lines(codes: DataFrame, tol: float = 1e-4, max_rounds: int = 1000) -> LineModel:
+    """Fit the line model by Baum-Welch on a table of the codes of every document's lines, all of
+    them, until no probability changes by more than tol. A round reads the table once and adds up
+    one small vector per task."""
+    size = 4 * sum(_SIZES) + 20
     model = LineModel()
-    for _ in range(rounds):
-        sums = task_sums(codes, 4 * sum(_SIZES) + 20, lambda b, m=model: m.expected(b.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), b.column(0).flatten().to_numpy().astype(np.int64)))
-        model = model.updated(sums)
-    return model
+    for _ in range(max_rounds):
+        sums = task_sums(codes.select("codes"), size, lambda b, m=model: sum((m.expected(n, c) for _, n, c in _documents(b.column(0))), np.zeros(size)))
+        old, model = model, model.updated(sums)
+        if model.change(old) <= tol:
+            return model
+    raise RuntimeError(f"the line model changes by {model.change(old):.2g} after {max_rounds} rounds")
 
 
 _COUNTS = ("n_words", "n_letters", "n_visible", "n_symbols", "n_lines", "n_ended", "n_common")
+_MEASURED = ("n_words", "n_letters", "n_visible", "n_symbols", "n_common")
 _SHARES = tuple(f"{s}_share" for s in STATES)
 
 
-def text_quality(documents: DataFrame, common_table: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_documents: int = FIT_DOCUMENTS) -> DataFrame:
+def _measured(texts: DataFrame, common: CommonWords) -> DataFrame:
+    """Key, whether the language is known, counts and codes of the lines of texts (key, lang,
+    text) as a written table."""
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, block in _blocks(batches, sent.value):
+            ends = np.searchsorted(block.line_doc, np.arange(len(keys) + 1))
+            codes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(block.codes))
+            yield pa.RecordBatch.from_arrays([keys.field(0), keys.field(1), *(pa.array(block.docs[c].astype(np.int64)) for c in _MEASURED), codes], ["key", "known", *_MEASURED, "codes"])
+
+    # The language goes around the Python step as a flag: no language, no share of common words.
+    flagged = texts.withColumn("key", F.struct("key", F.col("lang").isNotNull().alias("known")))
+    kind = dict(texts.dtypes)["key"]
+    return written(flagged.mapInArrow(counted, f"key {kind}, known boolean, " + ", ".join(f"{c} bigint" for c in _MEASURED) + ", codes array<int>"), "quality-measured")
+
+
+def text_quality(documents: DataFrame, common_table: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document of a non-null text, with its statistics.
 
     Columns: the key; n_words (runs of letters), n_letters, n_visible (characters but white
@@ -383,41 +456,38 @@ def text_quality(documents: DataFrame, common_table: DataFrame, key: str = "doc_
     Documents with null text give no row, equal documents each their own; an empty table gives
     none; other columns are ignored.
 
-    One pass without a shuffle; the model and the common words, both bounded, are sent out. More
+    One pass over the texts without a shuffle writes counts and a number per line; the model is
+    fitted on the lines of all documents and sent out, and every line is labelled by it. More
     common words than MOST_COMMON are joined to the lines instead.
     """
-    spark = documents.sparkSession
     common = common_words(common_table)
     texts = documents.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     if common.keys is None:
-        texts = written(_with_line_counts(texts, common_table), "quality-lines")
-    model = fit_lines(texts, common, fit_documents)
-    sent = spark.sparkContext.broadcast((common, model))
-    kind = dict(documents.dtypes)[key]
+        texts = _with_line_counts(texts, common_table)
+    measured = _measured(texts, common)
+    model = fit_lines(measured)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = sent.value
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.scores()
-        for keys, block in _blocks(batches, common):
-            n = len(keys)
-            lengths = np.diff(np.searchsorted(block.line_doc, np.arange(n + 1)))
-            label = block.line_doc * 4 + model.label(lengths, block.codes, scores)
-            lines, ended = (np.bincount(label[own], minlength=4 * n).reshape(n, 4) for own in (slice(None), block.ended))
-            counts = block.docs | {"n_lines": lines.sum(axis=1), "n_ended": ended.sum(axis=1)}
-            with np.errstate(invalid="ignore"):
-                shares = lines / counts["n_lines"][:, None]
-            none = counts["n_lines"] == 0
-            columns = [keys.field(0), keys.field(1), *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS), *(pa.array(shares[:, i], mask=none) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "known", *_COUNTS, *_SHARES])
-
-    schema = f"`{key}` {kind}, known boolean, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in _SHARES)
-    # The language goes around the Python step as a flag: no language, no share of common words.
-    flagged = texts.withColumn("key", F.struct("key", F.col("lang").isNotNull().alias("known")))
-    inner = flagged.mapInArrow(measured, schema)
+        for b in batches:
+            for rows, lengths, codes in _documents(b.column(b.num_columns - 1)):
+                n = len(lengths)
+                label = np.repeat(np.arange(n) * 4, lengths) + model.label(lengths, codes, scores)
+                lines, ended = (np.bincount(label[own], minlength=4 * n).reshape(n, 4) for own in (slice(None), _ended(codes)))
+                counts = {"n_lines": lines.sum(axis=1), "n_ended": ended.sum(axis=1)}
+                with np.errstate(invalid="ignore"):
+                    shares = lines / counts["n_lines"][:, None]
+                none = counts["n_lines"] == 0
+                part = b.slice(rows.start, n)
+                given = dict(zip(part.schema.names, part.columns, strict=True)) | {c: pa.array(v.astype(np.int64)) for c, v in counts.items()}
+                yield pa.RecordBatch.from_arrays([given[c] for c in ("key", "known", *_COUNTS)] + [pa.array(shares[:, i], mask=none) for i in range(4)], ["key", "known", *_COUNTS, *_SHARES])
+
+    schema = f"key {dict(texts.dtypes)['key']}, known boolean, " + ", ".join(f"{c} bigint" for c in _COUNTS) + ", " + ", ".join(f"{c} double" for c in _SHARES)
+    inner = measured.mapInArrow(labelled, schema)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     top = F.greatest(*_SHARES)
     return inner.select(
-        key, *_COUNTS,
+        F.col("key").alias(key), *_COUNTS,
         ratio("n_letters", "n_words").alias("mean_word_length"),
         ratio("n_symbols", "n_visible").alias("symbol_share"),
         ratio("n_ended", "n_lines").alias("line_end_share"),
