@@ -113,3 +113,35 @@ def test_robust_regression_equals_a_long_run(spark):
 def test_case_series_is_a_minimum(spark):
     fit = model_queries.case_series(spark, FOLDER)
     assert fit.history[0]["slope"] < 1e-6
+
+
+@pytest.mark.parametrize("local", [0, 32 << 20])
+def test_case_series_ends_at_a_kink(spark, monkeypatch, local):
+    monkeypatch.setattr(survival, "LOCAL_BYTES", local, raising=False)
+    fit = survival.LaggedCaseSeries([1, 0], c_tv=20.0, c_group=50.0, max_iter=60)
+    rng = np.random.default_rng(3)
+    x = [(i, t, f, 1.0) for i in range(40) for t in range(6) for f in range(2) if rng.random() < 0.3]
+    y = [(i, t, int(n)) for i in range(40) for t, n in enumerate(rng.poisson(0.3, 6)) if n]
+    c = spark.createDataFrame([(i, 6 - i % 2) for i in range(40)], "case_id bigint, censoring bigint")
+    fit.fit(spark.createDataFrame(x, "case_id bigint, interval bigint, feature int, value double"), spark.createDataFrame(y, "case_id bigint, interval bigint, y int"), c)
+    m = np.zeros((40, 6, 3))
+    for i, t, f, _ in x:
+        for k in range(2 - f):
+            if t + k < 6 - i % 2:
+                m[i, t + k, 2 * f + k] = 1
+    n = np.zeros((40, 6))
+    for i, t, v in y:
+        n[i, t] = v if t < 6 - i % 2 else 0
+    seen = np.arange(6) < (6 - np.arange(40) % 2)[:, None]
+
+    def whole(w):
+        s = m @ w
+        z = np.log((np.exp(s) * seen).sum(1))
+        loss = (n * (z[:, None] - s)).sum() / (n.sum(1) > 0).sum()
+        return loss + 5e-9 * w @ w + abs(w[1] - w[0]) / 20 + (np.sqrt(2) * np.linalg.norm(w[:2]) + abs(w[2])) / 50
+
+    assert fit.converged and fit.history[0]["slope"] < 1e-6 and 0 < (fit.coeffs != 0).sum() and (np.diff(np.r_[0.0, fit.coeffs]) == 0).any()
+    least = whole(fit.coeffs)
+    for d in rng.normal(size=(300, 3)) * 10 ** rng.uniform(-5, -1, (300, 1)):
+        assert whole(fit.coeffs + d) >= least - 1e-13
+    assert fit.score() == pytest.approx(((n * (np.log((np.exp(m @ fit.coeffs) * seen).sum(1))[:, None] - m @ fit.coeffs)).sum()) / (n.sum(1) > 0).sum())

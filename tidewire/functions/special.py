@@ -117,3 +117,36 @@ def minimise(f, x0, lower: float | None = None, max_iter: int = 500, tol: float
         slope = float(np.abs(grad[free]).max(initial=0.0))
         report.update(converged=ended or slope < tol, slope=slope)
     return x
+
+
+def minimise_sum(f, penalty, prox, x0, max_iter: int = 500, tol: float = 1e-10, report: dict | None = None) -> np.ndarray:
+    """Minimise f (value and gradient) plus a penalty with kinks, given by its value and its
+    proximal point prox(x, step), by steps of the length of the last curvature.
+
+    A step may raise the objective up to the largest of the last ten. It ends once a proximal
+    step moves no entry by more than tol times its length. report gets converged, false if
+    max_iter ended it, and slope, that move over the length: at a kink the slope left.
+    """
+    x = np.asarray(x0, float)
+    value, grad = f(x)
+    seen, step, slope = [value + penalty(x)], 1.0 / max(np.linalg.norm(grad), 1.0), math.inf
+    for i in range(max_iter + 1):
+        slope = float(np.abs(prox(x - step * grad, step) - x).max(initial=0.0)) / step
+        if slope < tol or i == max_iter:
+            break
+        for _ in range(60):
+            new = prox(x - step * grad, step)
+            new_value, new_grad = f(new)
+            whole, d = new_value + penalty(new), new - x
+            if np.isfinite(whole) and whole <= max(seen) - 1e-4 / (2 * step) * d @ d + 1e-14 * max(abs(max(seen)), 1.0):
+                break
+            step /= 2
+        else:
+            break
+        seen = [*seen, whole][-10:]
+        bend = d @ (new_grad - grad)
+        step = float(np.clip(d @ d / bend, 1e-10, 1e10)) if bend > 0 else step
+        x, grad = new, new_grad
+    if report is not None:
+        report.update(converged=slope < tol, slope=slope)
+    return x

@@ -12,10 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.special import minimise, normal_quantile
+from tidewire.functions.prox import total_variation_prox
+from tidewire.functions.special import minimise_sum, normal_quantile
 from tidewire.operators import glm, solvers
 from tidewire.operators.scan import running_totals
-from tidewire.operators.weighted import task_sums
+from tidewire.operators.weighted import LOCAL_BYTES, task_sums
 from tidewire.session import ship, written
 
 
@@ -222,22 +223,69 @@ class CaseSeries:
         with_events = self.rows.where("y > 0").select("case_id").distinct().count()
         self.n = max(censoring.select("case_id").distinct().count() if all_cases else with_events, 1)
 
-    def scored(self, coeffs) -> DataFrame:
-        w = F.array(*(F.lit(float(c)) for c in coeffs))
-        return self.rows.withColumn("s", F.coalesce(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["value"] * F.element_at(w, e["feature"] + 1)), F.lit(0.0)))
+    @cached_property
+    def observed(self) -> np.ndarray:
+        """Per column the sum over events of its value, over the cases with an event."""
+        totals = self.rows.groupBy("case_id").agg(F.sum("y").alias("total")).where("total > 0")
+        seen = self.rows.where("y <> 0").join(totals.select("case_id"), "case_id").select(F.explode("x").alias("v"), "y")
+        out = np.zeros(self.p)
+        for r in seen.groupBy(F.col("v.feature").alias("f")).agg(F.sum(F.col("v.value") * F.col("y")).alias("o")).collect():  # a row per column
+            out[r["f"]] = r["o"]
+        return out
+
+    @cached_property
+    def profiles(self) -> DataFrame | list[pa.RecordBatch]:
+        """What the likelihood needs of the cases with an event, for many evaluations: their
+        different rows, how many intervals have each, and their events. Cases alike in their
+        rows are one. Packed into a row per chunk of cases; in the driver's memory if all
+        chunks together are within LOCAL_BYTES."""
+        p = self.p
+        x = F.array_join(F.transform(F.array_sort("x"), lambda e: F.concat_ws(":", e["feature"].cast("string"), e["value"].cast("string"))), " ")
+        rows = self.rows.where("case_id is not null").groupBy("case_id", F.coalesce(x, F.lit("")).alias("x")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+        cases = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("rows"), F.sum("y").cast("double").alias("total"))
+        alike = cases.where("total > 0").groupBy("rows").agg(F.sum("total").alias("total"))
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                flat = b.column(0).flatten()
+                kinds = flat.field(0).dictionary_encode()
+                entries = [(k, *e.split(":")) for k, text in enumerate(kinds.dictionary.to_pylist()) for e in text.split()]
+                of, at, value = (np.array([e[i] for e in entries], kind) for i, kind in enumerate(("i4", "i4", "f8")))
+                parts = b.column(0).value_lengths().to_numpy().astype("i4"), b.column(1).to_numpy().astype("f8"), kinds.indices.to_numpy().astype("i4"), flat.field(1).to_numpy().astype("f8"), of, at, value
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in parts], names)
+
+        names = ["rows", "total", "kind", "n", "of", "at", "value"]
+        ship(self.rows.sparkSession)
+        chunks = written(alike.mapInArrow(packed, ", ".join(f"{n} binary" for n in names)), "case-profiles")
+        size = chunks.agg(F.sum(sum((F.length(n) for n in names), F.lit(0)))).first()[0] or 0
+        return chunks.toArrow().to_batches() if size <= LOCAL_BYTES else chunks
 
     def loss_and_grad(self, coeffs) -> tuple[float, np.ndarray]:
-        s = self.scored(coeffs)
-        tops = s.groupBy("case_id").agg(F.max("s").alias("top"), F.sum("y").alias("total"))
-        e = s.join(tops.where("total > 0"), "case_id").withColumn("e", F.exp(F.col("s") - F.col("top")))
-        norm = e.groupBy("case_id").agg(F.sum("e").alias("z"))
-        w = e.join(norm, "case_id")
-        loss = w.agg(F.sum(F.col("y") * (F.log("z") + F.col("top") - F.col("s")))).first()[0] or 0.0
-        pull = w.select(F.explode("x").alias("v"), (F.col("total") * F.col("e") / F.col("z") - F.col("y")).alias("r"))
-        grad = np.zeros(self.p)
-        for r in pull.groupBy(F.col("v.feature").alias("f")).agg(F.sum(F.col("v.value") * F.col("r")).alias("g")).collect():
-            grad[r["f"]] = r["g"]
-        return loss / self.n, grad / self.n
+        """Of every case the logarithm of its norm, times its events, less what is linear."""
+        c, p = np.asarray(coeffs, float), self.p
+
+        def partial(b: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(1 + p)
+            for chunk in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
+                rows, total, kind, n, of, at, value = (np.frombuffer(a.as_buffer(), t) for a, t in zip(chunk, ("i4", "f8", "i4", "f8", "i4", "i4", "f8"), strict=True))
+                begin = np.cumsum(rows) - rows
+                kinds = int(kind.max()) + 1
+                s = np.bincount(of, value * c[at], kinds)[kind]
+                top = np.maximum.reduceat(s, begin)
+                e = n * np.exp(s - np.repeat(top, rows))
+                z = np.add.reduceat(e, begin)
+                out[0] += total @ (np.log(z) + top)
+                share = np.bincount(kind, e * np.repeat(total / z, rows), kinds)
+                out[1:] += np.bincount(at, share[of] * value, p)
+            return out
+
+        if isinstance(self.profiles, list):
+            sums = sum((partial(b) for b in self.profiles), np.zeros(1 + p))
+        else:
+            sums = task_sums(self.profiles, 1 + p, partial)
+        return float(sums[0] - c @ self.observed) / self.n, (sums[1:] - self.observed) / self.n
 
     def loss(self, coeffs) -> float:
         return self.loss_and_grad(coeffs)[0]
@@ -281,6 +329,27 @@ class LaggedCaseSeries:
     def _blocks(self):
         return list(zip(self.starts[:-1], np.array(self.n_lags) + 1, strict=True))
 
+    def _penalty(self, c: np.ndarray) -> float:
+        value = 0.0
+        for (a, n), on in zip(self._blocks(), self.penalized, strict=True):
+            if on and self.c_tv:
+                value += np.abs(np.diff(c[a : a + n])).sum() / self.c_tv
+            if on and self.c_group:
+                value += math.sqrt(n) * np.linalg.norm(c[a : a + n]) / self.c_group
+        return float(value)
+
+    def _shrunk(self, c: np.ndarray, step: float) -> np.ndarray:
+        """The penalty's proximal point: that of the group norm at that of the total variation,
+        as scaling a block leaves the slopes of its variation as they are."""
+        out = c.copy()
+        for (a, n), on in zip(self._blocks(), self.penalized, strict=True):
+            if on and self.c_tv and n > 1:
+                out[a : a + n] = total_variation_prox(out[a : a + n], step / self.c_tv)
+            if on and self.c_group:
+                norm = np.linalg.norm(out[a : a + n])
+                out[a : a + n] *= max(1 - step * math.sqrt(n) / self.c_group / norm, 0.0) if norm > 0 else 0.0
+        return out
+
     def start(self, series: CaseSeries, low: float = -4.0, high: float = 4.0) -> np.ndarray:
         """Logarithms of events over expected events per lagged column, one half added to
         both, within bounds."""
@@ -294,24 +363,12 @@ class LaggedCaseSeries:
 
         self.series = CaseSeries(lagged(features, censoring, self.n_lags), labels, censoring, int(self.starts[-1]), all_cases=False)
 
-        def penalised(c):
+        def smooth(c):
             value, g = self.series.loss_and_grad(c)
-            value, g = value + 5e-9 * c @ c, g + 1e-8 * c
-            for (a, n), on in zip(self._blocks(), self.penalized, strict=True):
-                part = c[a : a + n]
-                if on and self.c_tv and n > 1:
-                    d = np.diff(part)
-                    value += np.abs(d).sum() / self.c_tv
-                    sign = np.sign(d) / self.c_tv
-                    g[a : a + n] += np.r_[0, sign] - np.r_[sign, 0]
-                if on and self.c_group:
-                    norm = np.linalg.norm(part)
-                    value += math.sqrt(n) * norm / self.c_group
-                    g[a : a + n] += math.sqrt(n) / self.c_group * part / norm if norm > 0 else 0.0
-            return value, g
+            return value + 5e-9 * c @ c, g + 1e-8 * c
 
         report: dict = {}
-        self.coeffs = minimise(penalised, self.start(self.series), max_iter=self.max_iter, tol=1e-7, report=report)
+        self.coeffs = minimise_sum(smooth, self._penalty, self._shrunk, self.start(self.series), max_iter=self.max_iter, tol=1e-7, report=report)
         self.converged, self.history = report["converged"], [report]
         return self
 
