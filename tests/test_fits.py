@@ -145,3 +145,30 @@ def test_case_series_ends_at_a_kink(spark, monkeypatch, local):
     for d in rng.normal(size=(300, 3)) * 10 ** rng.uniform(-5, -1, (300, 1)):
         assert whole(fit.coeffs + d) >= least - 1e-13
     assert fit.score() == pytest.approx(((n * (np.log((np.exp(m @ fit.coeffs) * seen).sum(1))[:, None] - m @ fit.coeffs)).sum()) / (n.sum(1) > 0).sum())
+
+
+def test_shared_basis_takes_few_rounds_over_few_rows(spark):
+    fit = Q.shared_basis(spark, "/root/testdata/sf0.01")
+    assert len(fit.history) < 500 and fit.history[-1]["rel"] <= fit.tol
+    assert sum(len(c.column(0)[0].as_py()) // 4 for c in fit.counts.chunks) < fit.data.n_jumps / 3
+    plain = fit.mu, fit.amplitudes, fit.basis
+    for a, b in zip(fit.iterate(*plain), plain, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-4)
+
+
+@pytest.mark.parametrize("local", [0, 32 << 20])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_packed_sums(spark, monkeypatch, local, repeated):
+    from tidewire.operators import weighted
+
+    monkeypatch.setattr(weighted, "LOCAL_BYTES", local)
+    rng = np.random.default_rng(5)
+    rows = [(int(u), [float(x) for x in rng.integers(0, 2, 4)]) for u in rng.integers(0, 3, 200)]
+    df = spark.createDataFrame(rows, "node int, phi array<double>").repartition(3)
+    mu, w = np.array([0.0, 0.2, 0.3]), rng.uniform(0.1, 1, (3, 4))
+    packed = weighted.iterated(df, len(rows), 4, repeated)
+    assert isinstance(packed.chunks, list) == (local > 0)
+    a, b = weighted.weighted_sums(packed, mu, w), weighted.weighted_sums(df, mu, w)
+    assert (a.n, a.bad) == (b.n, b.bad) and a.bad > 0
+    for name in ("logs", "inverse", "over"):
+        np.testing.assert_allclose(getattr(a, name), getattr(b, name), rtol=1e-12)

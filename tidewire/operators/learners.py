@@ -261,6 +261,25 @@ class GaussianMixture(_Fit):
         return (self.amplitudes[i, j] * np.exp(-z * z / 2)).sum(-1) / (self.std * math.sqrt(2 * math.pi))
 
 
+#: Rounds of a shared basis before the first jump.
+PLAIN_ROUNDS = 10
+
+
+def _extrapolated(first: tuple, second: tuple, third: tuple) -> tuple | None:
+    """Where three points in a row lead to, by the squared extrapolation of Varadhan and Roland,
+    shortened until what is above 0 stays so; None if that leaves nothing of it."""
+    flat = [np.concatenate([np.ravel(x) for x in point]) for point in (first, second, third)]
+    d, bend = flat[1] - flat[0], flat[2] - 2 * flat[1] + flat[0]
+    size = float(np.linalg.norm(d) / max(np.linalg.norm(bend), 1e-300))
+    while size > 1.01:
+        y = flat[0] + 2 * size * d + size * size * bend
+        if np.isfinite(y).all() and (y[flat[2] > 0] > 0).all():
+            y = np.where(flat[2] > 0, y, 0.0)
+            return tuple(part.reshape(x.shape) for part, x in zip(np.split(y, np.cumsum([x.size for x in third])[:-1]), third, strict=True))
+        size = (size + 1) / 2
+    return None
+
+
 class SharedBasis(_Fit):
     """Kernels as positive mixtures of a few common basis functions on a grid, which are
     estimated with them under a smoothness penalty 1 / C."""
@@ -273,7 +292,7 @@ class SharedBasis(_Fit):
     def prepare(self, data: EventData) -> None:
         self.data = data
         counts = written(bands.step_counts(data, self.dt, self.size).select("node", "phi"), "basis-counts")
-        self.counts = iterated(counts, data.n_jumps, data.n_nodes * self.size)
+        self.counts = iterated(counts, data.n_jumps, data.n_nodes * self.size, repeated=True)
         self.exposure = bin_exposure(data, np.arange(self.size + 1) * self.dt)
         late = [F.sum((F.col("t") <= F.col("end_time") - F.lit(m * self.dt)).cast("double")).alias(f"m{m}") for m in range(self.size)]
         self.early = np.zeros((data.n_nodes, self.size))
@@ -316,16 +335,29 @@ class SharedBasis(_Fit):
         return mu * s.inverse / self.data.total_time, new_a, np.stack(solved)
 
     def fit(self, data: EventData, mu, amplitudes, basis) -> SharedBasis:
+        """After the first rounds every third is followed from a point beyond the last two, as
+        their steps shrink slowly. The stop rule is that of a plain round, wherever it began."""
         self.prepare(data)
         state = tuple(np.asarray(x, float) for x in (mu, amplitudes, basis))
+        trail: list[tuple[tuple, float]] = []
+        safe = None  # what a jump left, and the change that its first round must not exceed by much
         for i in range(self.max_iter):
             new = self.iterate(*state)
             far = max(relative_distance(x, y) for x, y in zip(new, state, strict=True))
-            state = new
             self.history.append({"n_iter": i + 1, "rel": far})
+            if safe is not None and not far <= 2 * safe[1]:
+                state, safe = safe[0], None
+                continue
+            trail = [] if safe is not None else [*trail, (state, far)]
+            state, safe = new, None
             self.converged = far <= self.tol
             if self.converged:
                 break
+            if i >= PLAIN_ROUNDS and len(trail) >= 2:
+                beyond = _extrapolated(trail[-2][0], trail[-1][0], state)
+                if beyond is not None:
+                    state, safe = beyond, (state, trail[-2][1])
+                trail = []
         self.mu, self.amplitudes, self.basis = state
         return self
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import ship
+from tidewire.session import ship, written
 
 
 def task_sums(df: DataFrame, size: int, partial) -> np.ndarray:
@@ -62,25 +62,87 @@ class Sums:
 #: Bytes of a feature table that the driver may keep for an iteration.
 LOCAL_BYTES = 32 << 20
 
+#: Numbers of all tasks together that the driver adds up itself.
+DRIVER_SUMS = 1_000_000
+
 
 @dataclass
-class Local:
-    """A feature table of at most LOCAL_BYTES, also in the driver's memory: an iteration of
-    hundreds of steps then takes no job for each. The sums are the same either way."""
+class Packed:
+    """A feature table for an iteration of hundreds of steps: rows sorted by node and packed
+    into a few arrays per chunk. Chunks of at most LOCAL_BYTES together are in the driver's
+    memory, so that no step takes a job; else a step reads them without unpacking rows. The
+    sums are the same either way."""
 
     df: DataFrame
-    batches: list[pa.RecordBatch]
+    chunks: DataFrame | list[pa.RecordBatch]
+    parts: int = 0
+
+
+def _chunk(b: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """A batch of node, phi and perhaps n, how many rows a row stands for, as one row."""
+    node = b.column(0).to_numpy(zero_copy_only=False).astype("i4")
+    order = np.argsort(node, kind="stable")
+    n = b.column(2).to_numpy(zero_copy_only=False).astype("f8") if b.num_columns > 2 else np.ones(0)
+    arrays = node[order], dense(b, "phi", width)[order], n[order] if len(n) else n
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays], ["node", "phi", "n"])
 
 
-def iterated(features: DataFrame, rows: int, width: int) -> DataFrame | Local:
+def iterated(features: DataFrame, rows: int, width: int, repeated: bool = False) -> Packed:
     """A written table of node and phi (width numbers) for many calls of weighted_sums: kept
-    local too if its known number of rows bounds it by LOCAL_BYTES, else as it is."""
-    if rows * (width + 1) * 8 > LOCAL_BYTES:
-        return features
-    return Local(features, features.select("node", "phi").toArrow().combine_chunks().to_batches())
+    local if its known number of rows bounds it by LOCAL_BYTES. repeated tells that phi are
+    counts, of which many are equal: equal rows are then one, with their number."""
+    table = features.select("node", "phi")
+    if repeated:
+        table = written(table.groupBy("node", "phi").agg(F.count("*").alias("n")), "equal-features")
+        rows = table.count()
+    if rows * (width + 1 + repeated) * 8 <= LOCAL_BYTES:
+        return Packed(features, [_chunk(b, width) for b in table.toArrow().combine_chunks().to_batches() if b.num_rows])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _chunk(b, width)
+
+    ship(features.sparkSession)
+    chunks = written(table.mapInArrow(packed, "node binary, phi binary, n binary"), "packed-features")
+    return Packed(features, chunks, chunks.rdd.getNumPartitions())
+
+
+def _chunk_sums(b: pa.RecordBatch, mu: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    d, width = weights.shape
+    head, inverse, over = np.zeros(3), np.zeros(d), np.zeros((d, width))
+    for row in zip(*b.columns, strict=True):
+        node, phi, n = (np.frombuffer(a.as_buffer(), t) for a, t in zip(row, ("i4", "f8", "f8"), strict=True))
+        phi, cut = phi.reshape(len(node), width), np.searchsorted(node, np.arange(d + 1))
+        if cut[0] or cut[-1] < len(node):
+            raise ValueError("a node outside the range")
+        for u, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            own, k = phi[i:j], n[i:j] if len(n) else np.ones(j - i)
+            lam = mu[u] + own @ weights[u]
+            ok = lam > 0
+            lam = np.where(ok, lam, 1.0)
+            inv = np.where(ok, k / lam, 0.0)
+            head += k.sum(), k[~ok].sum(), k @ np.log(lam)
+            inverse[u] += inv.sum()
+            over[u] += inv @ own
+    return np.r_[head, inverse, over.ravel()]
+
+
+def _packed_sums(p: Packed, mu: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    size = 3 + len(mu) + weights.size
+    if isinstance(p.chunks, list):
+        return sum((_chunk_sums(b, mu, weights) for b in p.chunks), np.zeros(size))
+    if p.parts * size > DRIVER_SUMS:
+        return task_sums(p.chunks, size, lambda b: _chunk_sums(b, mu, weights))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((_chunk_sums(b, mu, weights) for b in batches), np.zeros(size))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    return sum((np.frombuffer(r["v"]) for r in p.chunks.mapInArrow(summed, "v binary").collect()), np.zeros(size))
 
 
-def weighted_sums(features: DataFrame | Local, mu: np.ndarray, weights: np.ndarray) -> Sums:
+def weighted_sums(features: DataFrame | Packed, mu: np.ndarray, weights: np.ndarray) -> Sums:
     """Sums over a table of node and phi, for intensity mu[node] + weights[node] . phi."""
     d, width = weights.shape
 
@@ -96,8 +158,8 @@ def weighted_sums(features: DataFrame | Local, mu: np.ndarray, weights: np.ndarr
             over[u] = inv[own] @ phi[own]
         return np.r_[len(node), (~ok).sum(), np.log(lam[ok]).sum(), np.bincount(node, inv, d), over.ravel()]
 
-    if isinstance(features, Local):
-        s = sum((partial(b) for b in features.batches if b.num_rows), np.zeros(3 + d + d * width))
+    if isinstance(features, Packed):
+        s = _packed_sums(features, np.asarray(mu, float), np.asarray(weights, float))
     else:
         s = task_sums(features.select("node", "phi"), 3 + d + d * width, partial)
     return Sums(int(round(s[0])), int(round(s[1])), float(s[2]), s[3 : 3 + d], s[3 + d :].reshape(d, width))
