@@ -265,17 +265,18 @@ class GaussianMixture(_Fit):
 PLAIN_ROUNDS = 10
 
 
-def _extrapolated(first: tuple, second: tuple, third: tuple) -> tuple | None:
+def _extrapolated(first: tuple, second: tuple, third: tuple, reach: float = math.inf) -> tuple[tuple, float] | None:
     """Where three points in a row lead to, by the squared extrapolation of Varadhan and Roland,
-    shortened until what is above 0 stays so; None if that leaves nothing of it."""
+    and its length, at most reach and shortened until what is above 0 stays so; None if that
+    leaves nothing of it."""
     flat = [np.concatenate([np.ravel(x) for x in point]) for point in (first, second, third)]
     d, bend = flat[1] - flat[0], flat[2] - 2 * flat[1] + flat[0]
-    size = float(np.linalg.norm(d) / max(np.linalg.norm(bend), 1e-300))
+    size = min(float(np.linalg.norm(d) / max(np.linalg.norm(bend), 1e-300)), reach)
     while size > 1.01:
         y = flat[0] + 2 * size * d + size * size * bend
         if np.isfinite(y).all() and (y[flat[2] > 0] > 0).all():
             y = np.where(flat[2] > 0, y, 0.0)
-            return tuple(part.reshape(x.shape) for part, x in zip(np.split(y, np.cumsum([x.size for x in third])[:-1]), third, strict=True))
+            return tuple(part.reshape(x.shape) for part, x in zip(np.split(y, np.cumsum([x.size for x in third])[:-1]), third, strict=True)), size
         size = (size + 1) / 2
     return None
 
@@ -341,22 +342,26 @@ class SharedBasis(_Fit):
         state = tuple(np.asarray(x, float) for x in (mu, amplitudes, basis))
         trail: list[tuple[tuple, float]] = []
         safe = None  # what a jump left, and the change that its first round must not exceed by much
+        size, reach = 1.0, math.inf  # of the last jump, and the most of the next
         for i in range(self.max_iter):
             new = self.iterate(*state)
             far = max(relative_distance(x, y) for x, y in zip(new, state, strict=True))
             self.history.append({"n_iter": i + 1, "rel": far})
             if safe is not None and not far <= 2 * safe[1]:
-                state, safe = safe[0], None
+                state, safe, reach = safe[0], None, max(size / 4, 2.0)
                 continue
+            if safe is not None and size == reach:
+                reach *= 4
             trail = [] if safe is not None else [*trail, (state, far)]
             state, safe = new, None
             self.converged = far <= self.tol
             if self.converged:
                 break
             if i >= PLAIN_ROUNDS and len(trail) >= 2:
-                beyond = _extrapolated(trail[-2][0], trail[-1][0], state)
+                beyond = _extrapolated(trail[-2][0], trail[-1][0], state, reach)
                 if beyond is not None:
-                    state, safe = beyond, (state, trail[-2][1])
+                    safe = state, trail[-2][1]
+                    state, size = beyond
                 trail = []
         self.mu, self.amplitudes, self.basis = state
         return self
