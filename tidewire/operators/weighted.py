@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import ship, written
+from tidewire.session import _remove, shared_dir, ship, written
 
 
 def task_sums(df: DataFrame, size: int, partial) -> np.ndarray:
@@ -74,7 +78,7 @@ class Packed:
     sums are the same either way."""
 
     df: DataFrame
-    chunks: DataFrame | list[pa.RecordBatch]
+    chunks: DataFrame | RDD | list[pa.RecordBatch]
     parts: int = 0
 
 
@@ -104,27 +108,65 @@ def iterated(features: DataFrame, rows: int, width: int, repeated: bool = False)
                 yield _chunk(b, width)
 
     ship(features.sparkSession)
+    root = shared_dir(features.sparkSession)
+    if root.startswith(("file:", "/")):
+        folder = f"{root}/packed-{uuid.uuid4().hex}"
+        atexit.register(_remove, features.sparkSession, folder)
+        return Packed(features, _files(table, packed, folder.removeprefix("file:")))
     chunks = written(table.mapInArrow(packed, "node binary, phi binary, n binary"), "packed-features")
     return Packed(features, chunks, chunks.rdd.getNumPartitions())
 
 
+def _files(table: DataFrame, packed, folder: str) -> RDD:
+    """Chunks as plain files in a folder that all executors see, one of each task, with a
+    record of its path and the lengths of its arrays: a step then reads them past the JVM."""
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        path, lengths = f"{folder}/{uuid.uuid4().hex}", []
+        with open(path, "wb") as out:
+            for b in packed(batches):
+                for a in b.columns:
+                    lengths.append(out.write(a[0].as_buffer()))
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([lengths], pa.list_(pa.int64()))], ["path", "lengths"])
+
+    files = [(r["path"], r["lengths"]) for r in table.mapInArrow(stored, "path string, lengths array<bigint>").collect() if r["lengths"]]
+    return table.sparkSession.sparkContext.parallelize(files, max(len(files), 1))
+
+
+def _file_sums(file: tuple[str, list[int]], mu: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    path, lengths = file
+    total = np.zeros(3 + len(mu) + weights.size)
+    with open(path, "rb") as f:
+        for k in range(0, len(lengths), 3):
+            parts = [f.read(n) for n in lengths[k : k + 3]]
+            if [len(x) for x in parts] != lengths[k : k + 3]:
+                raise ValueError(f"{path} is cut short")
+            total += _row_sums(parts, mu, weights)
+    return total
+
+
 def _chunk_sums(b: pa.RecordBatch, mu: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    rows = zip(*b.columns, strict=True)
+    return sum((_row_sums([a.as_buffer() for a in row], mu, weights) for row in rows), np.zeros(3 + len(mu) + weights.size))
+
+
+def _row_sums(row: list, mu: np.ndarray, weights: np.ndarray) -> np.ndarray:
     d, width = weights.shape
     head, inverse, over = np.zeros(3), np.zeros(d), np.zeros((d, width))
-    for row in zip(*b.columns, strict=True):
-        node, phi, n = (np.frombuffer(a.as_buffer(), t) for a, t in zip(row, ("i4", "f8", "f8"), strict=True))
-        phi, cut = phi.reshape(len(node), width), np.searchsorted(node, np.arange(d + 1))
-        if cut[0] or cut[-1] < len(node):
-            raise ValueError("a node outside the range")
-        for u, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            own, k = phi[i:j], n[i:j] if len(n) else np.ones(j - i)
-            lam = mu[u] + own @ weights[u]
-            ok = lam > 0
-            lam = np.where(ok, lam, 1.0)
-            inv = np.where(ok, k / lam, 0.0)
-            head += k.sum(), k[~ok].sum(), k @ np.log(lam)
-            inverse[u] += inv.sum()
-            over[u] += inv @ own
+    node, phi, n = (np.frombuffer(a, t) for a, t in zip(row, ("i4", "f8", "f8"), strict=True))
+    phi, cut = phi.reshape(len(node), width), np.searchsorted(node, np.arange(d + 1))
+    if cut[0] or cut[-1] < len(node):
+        raise ValueError("a node outside the range")
+    for u, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        own, k = phi[i:j], n[i:j] if len(n) else np.ones(j - i)
+        lam = mu[u] + own @ weights[u]
+        ok = lam > 0
+        lam = np.where(ok, lam, 1.0)
+        inv = np.where(ok, k / lam, 0.0)
+        head += k.sum(), k[~ok].sum(), k @ np.log(lam)
+        inverse[u] += inv.sum()
+        over[u] += inv @ own
     return np.r_[head, inverse, over.ravel()]
 
 
@@ -132,6 +174,9 @@ def _packed_sums(p: Packed, mu: np.ndarray, weights: np.ndarray) -> np.ndarray:
     size = 3 + len(mu) + weights.size
     if isinstance(p.chunks, list):
         return sum((_chunk_sums(b, mu, weights) for b in p.chunks), np.zeros(size))
+    if isinstance(p.chunks, RDD):
+        sums = p.chunks.map(lambda file: _file_sums(file, mu, weights))
+        return sums.treeReduce(np.add) if p.chunks.getNumPartitions() * size > DRIVER_SUMS else sum(sums.collect(), np.zeros(size))
     if p.parts * size > DRIVER_SUMS:
         return task_sums(p.chunks, size, lambda b: _chunk_sums(b, mu, weights))
 
